@@ -27,12 +27,24 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqloom.llm.substring import repeated_spans
+
+    return repeated_spans(_table(spark, sf_dir, "documents"), texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqloom.llm.html_extract import extract
 
     return extract(_table(spark, sf_dir, "pages"))
 
 
+def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqloom.llm.simhash import hexadecimal, near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4).select("doc_id", hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqloom.llm.warc import capture_histories
 
@@ -51,7 +63,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op4_html_extraction, op6_warc, op7_gif_media, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_substring_dedup, op4_html_extraction, op5_simhash_dedup, op6_warc, op7_gif_media, op10_packing)}
 
 ORACLE_SQL = {
     "op1_url_filter": r"""
@@ -74,6 +86,15 @@ ORACLE_SQL = {
             WHEN regexp_matches(host, '(^|\.)(ads-track|adult-x|casino-win|cheap-pills|free-bets|spam-farm)\.example\.(com|net|org)$') THEN 'block'
             ELSE 'allow' END AS verdict
         FROM r""",
+    "op2_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        k AS (SELECT doc_id, i, array_to_string(ws[i : i + 12], ' ') AS win FROM w, unnest(generate_series(1, len(ws) - 12)) AS t(i)),
+        m AS (SELECT win, min(doc_id) AS first_id FROM k GROUP BY win),
+        c AS (SELECT DISTINCT doc_id, j FROM k JOIN m USING (win), unnest(generate_series(i, i + 12)) AS t(j) WHERE first_id < doc_id),
+        x AS (SELECT doc_id, j, ws[j] AS word FROM w, unnest(generate_series(1, len(ws))) AS t(j)),
+        g AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY j) AS kept FROM x ANTI JOIN c USING (doc_id, j) GROUP BY doc_id)
+        SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM w LEFT JOIN g USING (doc_id)""",
     "op6_warc": r"""
         WITH p AS (
             SELECT page_id, url, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
