@@ -57,13 +57,20 @@ def op7_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(_table(spark, sf_dir, "documents"))
 
 
+def op9_bitsliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqloom.llm.bitsliced import top_k
+
+    vectors = _table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqloom.llm.packing import pack
 
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_substring_dedup, op4_html_extraction, op5_simhash_dedup, op6_warc, op7_gif_media, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_substring_dedup, op4_html_extraction, op5_simhash_dedup, op6_warc, op7_gif_media, op9_bitsliced_topk, op10_packing)}
 
 ORACLE_SQL = {
     "op1_url_filter": r"""
@@ -110,4 +117,13 @@ ORACLE_SQL = {
                  || CASE WHEN strpos(rest, '/') > 0 THEN lower(substr(rest, strpos(rest, '/'))) ELSE '' END AS url_key,
                strftime(TIMESTAMP '2024-01-01' + to_seconds(page_id), '%Y-%m-%dT%H:%M:%SZ') AS capture_ts
         FROM j""",
+    "op9_bitsliced_topk": r"""
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        p AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
 }
