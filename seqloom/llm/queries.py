@@ -57,6 +57,13 @@ def op7_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(_table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqloom.llm.toxicity import held_out, with_scores
+
+    scored = with_scores(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op9_bitsliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqloom.llm.bitsliced import top_k
 
@@ -70,7 +77,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_substring_dedup, op4_html_extraction, op5_simhash_dedup, op6_warc, op7_gif_media, op9_bitsliced_topk, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_substring_dedup, op4_html_extraction, op5_simhash_dedup, op6_warc, op7_gif_media, op8_toxicity, op9_bitsliced_topk, op10_packing)}
 
 ORACLE_SQL = {
     "op1_url_filter": r"""

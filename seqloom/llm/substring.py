@@ -16,12 +16,13 @@ into shards by content and each stretch of a document meets the one shard that c
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from seqloom.llm.shared import chunks, mixed, text_buffer, word_hashes, words, written
 
@@ -230,9 +231,8 @@ def _judge_shard(rows: list[tuple[int, int, bytes]], window: int) -> Iterator[tu
 
 
 def _prepared(docs: DataFrame, window: int, most_bits: int, frequent: int):
-    """(documents with id and text, bitmaps, written answers doc_id, sid, held)."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    ids = rows.where("doc_id is not null")
+    """(bitmaps, written answers doc_id, sid, held) of documents with id and text."""
+    ids = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
 
     def keys(batches):
         for b in batches:
@@ -296,24 +296,27 @@ def _prepared(docs: DataFrame, window: int, most_bits: int, frequent: int):
             yield answer(found)
         yield answer(list(_judge_shard(group, window)) if group else [])
 
-    return rows, shared, written(dealt.mapInArrow(judge, "doc_id long, sid long, held binary"), "substring-held")
+    return shared, written(dealt.mapInArrow(judge, "doc_id long, sid long, held binary"), "substring-held")
 
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<first:int,last:int>>, kept string"
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, most_bits: int = MOST_BITS, frequent: int = FREQUENT, texts: bool = True) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, most_bits: int = MOST_BITS, frequent: int = FREQUENT, texts: bool = True, carry: Sequence[str] = ()) -> DataFrame:
     """Finds and cuts out the words that windows of earlier documents cover; a row for each document (doc_id, text).
 
     n_words and n_removed; kept_sha256 of the kept words, joined by one space; spans: the removed stretches as word indexes,
     first and last (exclusive); kept (null unless `texts`): the text without them, untouched where nothing is removed.
     Windows are judged on the input. A null text has no words. A row without doc_id loses nothing and takes from none.
-    Rows that repeat a doc_id are one document: they take nothing from each other. Other columns are ignored.
+    Rows that repeat a doc_id are one document: they take nothing from each other. Other columns are ignored, but for those
+    in `carry`, which come back in the struct `carried`.
     """
-    rows, shared, answers = _prepared(docs, window, most_bits, frequent)
-    both = answers.withColumn("text", F.lit(None).cast("string")).withColumn("kind", F.lit(0)).unionByName(
+    shared, answers = _prepared(docs, window, most_bits, frequent)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.struct(*[docs[c] for c in carry] or [F.lit(0).alias("none")]).alias("carried"))
+    kind = rows.schema["carried"].dataType
+    both = answers.withColumn("text", F.lit(None).cast("string")).withColumn("carried", F.lit(None).cast(kind)).withColumn("kind", F.lit(0)).unionByName(
         rows.withColumn("sid", F.lit(None).cast("long")).withColumn("held", F.lit(None).cast("binary")).withColumn("kind", F.lit(1)))
-    both = both.repartition(F.coalesce("doc_id", F.xxhash64("text"))).sortWithinPartitions("doc_id", "kind").select("doc_id", "kind", "sid", "held", "text")
+    both = both.repartition(F.coalesce("doc_id", F.xxhash64("text"))).sortWithinPartitions("doc_id", "kind").select("doc_id", "kind", "sid", "held", "text", "carried")
     span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("spans", span), ("kept", pa.string())])
 
@@ -328,12 +331,14 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, most_bits: int = MOST_
             ids = t.column("doc_id").to_pylist()
             for s, i, j in _parts(t, window):
                 out = _cut(s, ids[i:j], shared.value, known, t.column("text").slice(i, j - i) if texts else None)
-                yield pa.RecordBatch.from_pylist(out, schema)
+                found = pa.RecordBatch.from_pylist(out, schema)
+                yield pa.record_batch([*found.columns, t.column("carried").slice(i, j - i)], [*schema.names, "carried"])
             if len(b):
                 last = b.column("doc_id")[-1].as_py()
                 known = {last: known[last]} if last in known else {}
 
-    return both.mapInArrow(cut, RESULT)
+    out = both.mapInArrow(cut, StructType([*StructType.fromDDL(RESULT), StructField("carried", kind)]))
+    return out if carry else out.drop("carried")
 
 
 def _cut(s: Stretches, ids: list, bitmaps: tuple, known: dict, texts) -> list[dict]:
