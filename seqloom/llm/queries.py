@@ -33,6 +33,12 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(_table(spark, sf_dir, "documents"), texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op3_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqloom.llm.sentencepieces import digests
+
+    return digests(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqloom.llm.html_extract import extract
 
@@ -77,7 +83,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_substring_dedup, op4_html_extraction, op5_simhash_dedup, op6_warc, op7_gif_media, op8_toxicity, op9_bitsliced_topk, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_substring_dedup, op3_sentencepieces, op4_html_extraction, op5_simhash_dedup, op6_warc, op7_gif_media, op8_toxicity, op9_bitsliced_topk, op10_packing)}
 
 ORACLE_SQL = {
     "op1_url_filter": r"""
