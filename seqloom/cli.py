@@ -153,6 +153,7 @@ def _run(a: argparse.Namespace, spark: SparkSession) -> None:
             put(transform.convert_records(df, a.to, a.qual), a.to)
         case "filter":
             put(selection.filter_records(df, a.min_len, a.max_len, a.gc_min, a.gc_max, a.pattern, a.exclude_pattern, ids(), a.min_qual, a.invert))
+            _say(f"of {df.count()} records read")
         case "extract":
             if fmt == "fastq":
                 raise ValueError("extract reads FASTA")

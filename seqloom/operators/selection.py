@@ -98,3 +98,10 @@ def filter_records(
     if invert:
         whole = ~F.coalesce(whole, F.lit(False))
     return df.where(whole).select(*columns)
+
+
+def filter_counts(df: DataFrame, **conditions) -> DataFrame:
+    """total and kept records of a filter, as one row of a union's sums."""
+    every = df.select(F.lit(1).alias("total"), F.lit(0).alias("kept"))
+    kept = filter_records(df, **conditions).select(F.lit(0).alias("total"), F.lit(1).alias("kept"))
+    return every.unionAll(kept).agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.coalesce(F.sum("kept"), F.lit(0)).alias("kept"))

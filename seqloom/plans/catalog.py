@@ -125,6 +125,11 @@ _filter("filter_all_invert", "false", invert=True)
 _filter("filter_protein_len", "length(seq) >= 1000", ("proteins",), source=V.proteins, min_len=1000)
 
 
+@_query(V.sql("SELECT count(*) AS total, count(*) FILTER (length(seq) >= 100) AS kept FROM reads", "reads"))
+def filter_counts(spark, sf_dir):
+    return selection.filter_counts(V.reads(spark, sf_dir), min_len=100)
+
+
 # ---- functions, modify, convert --------------------------------------------------------------------------------------
 
 
@@ -251,9 +256,9 @@ def search_exact_hits(spark, sf_dir):
     return search.find_hits(V.reads(spark, sf_dir), "ATTA").where("strand = '+'").select(*_HIT)
 
 
-@_query(_hit_sql("SELECT * FROM hits", "GAATTC"))
+@_query(_hit_sql("SELECT * FROM hits", "AATT"))
 def search_both_strands(spark, sf_dir):
-    return search.find_hits(V.reads(spark, sf_dir), "gaattc").select(*_HIT)
+    return search.find_hits(V.reads(spark, sf_dir), "aatt").select(*_HIT)
 
 
 @_query(_hit_sql("SELECT * FROM hits", "ACNTAGA", 1))

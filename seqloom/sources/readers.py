@@ -6,14 +6,14 @@ of ord, a record's place in the split the lower, so ord ascends but is not dense
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.schema import RECORD
+from seqloom.schema import ORDER, RECORD
 from seqloom.sources.formats import detect_format
 
 _LOW = (1 << 33) - 1
@@ -105,6 +105,16 @@ def read_sequences(spark: SparkSession, paths: str | Sequence[str], fmt: str | N
     return reduce(DataFrame.unionByName, parts)
 
 
+def record_iter(df: DataFrame) -> Iterator[Row]:
+    """Records one after the other in input order; the driver holds a partition at a time."""
+    return df.orderBy(*ORDER).toLocalIterator(prefetchPartitions=True)
+
+
+def parse_records(spark: SparkSession, path: str, fmt: str | None = None) -> list[Row]:
+    """All records of a small file as a list."""
+    return list(record_iter(read_sequences(spark, path, fmt)))
+
+
 def read_ids(spark: SparkSession, path: str | None = None, ids: Iterable[str] = ()) -> DataFrame:
     """The distinct ids of a file (one a line, trimmed, blanks dropped) and of a list."""
     out = spark.createDataFrame([(i,) for i in ids], "id string")

@@ -72,6 +72,11 @@ def test_many_files(spark, tmp_path):
     assert readers.read_sequences(spark, []).count() == 0
 
 
+def test_record_iterator(spark, tmp_path):
+    p = put(tmp_path / "a.fa", ">y\nC\n>z\nG\n")
+    assert [r.id for r in readers.record_iter(readers.read_sequences(spark, p))] == [r.id for r in readers.parse_records(spark, p)] == ["y", "z"]
+
+
 def test_ids_and_bed(spark, tmp_path):
     p = put(tmp_path / "ids.txt", " a \n\nb\na\n")
     assert sorted(r.id for r in readers.read_ids(spark, p, ["c"]).collect()) == ["a", "b", "c"]
