@@ -16,8 +16,9 @@ from seqloom.llm.simhash import near_duplicates
 from seqloom.llm.substring import repeated_spans
 from seqloom.llm.toxicity import with_scores
 
-#: Fingerprints of five-word shingles within so many of 64 bits are near duplicates here; a ring of one segment more.
-NEAR_BITS = 7
+#: Fingerprints of five-word shingles within so many of 64 bits are near duplicates here, if the texts' sizes allow the
+#: similarity; a ring of one segment more.
+NEAR_BITS, SIMILARITY = 7, 0.8
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +29,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates; rows without an id stay."""
-    groups = near_duplicates(docs, shingle=5, most=NEAR_BITS, segments=NEAR_BITS + 1)
+    groups = near_duplicates(docs, shingle=5, most=NEAR_BITS, segments=NEAR_BITS + 1, similarity=SIMILARITY)
     copies = written(groups.where("component_id < doc_id").select("doc_id").distinct(), "copies")
     return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
 

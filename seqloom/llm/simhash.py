@@ -84,8 +84,9 @@ def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 42
     return out
 
 
-def fingerprints_of(buf: np.ndarray, offs: np.ndarray, shingle: int, seed: int = 42) -> np.ndarray:
-    """The SimHash of each text (A-Z lower-cased, word shingles joined by one space, repeats counted); 0 without words."""
+def fingerprints_of(buf: np.ndarray, offs: np.ndarray, shingle: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """The SimHash of each text (A-Z lower-cased, word shingles joined by one space, repeats counted; 0 without words), and
+    how many shingles it has."""
     low = buf.copy()
     upper = (low >= 65) & (low <= 90)
     low[upper] += 32
@@ -115,20 +116,20 @@ def fingerprints_of(buf: np.ndarray, offs: np.ndarray, shingle: int, seed: int =
         some = np.flatnonzero(count)
         total = np.add.reduceat(part, (np.cumsum(groups) - groups)[some], axis=0, dtype=np.int64)
         out[some] = np.packbits(2 * total > count[some, None], axis=1, bitorder="little").view(np.uint64).ravel()
-    return out
+    return out, count
 
 
 def fingerprints(docs: DataFrame, shingle: int = 5, seed: int = 42) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) of every row of docs (doc_id, text)."""
+    """doc_id, fp (the 64 bits as a signed long) and shingles (their number) of every row of docs (doc_id, text)."""
 
     def run(batches):
         for b in batches:
             buf, offs = text_buffer(b.column("text"))
             out = [fingerprints_of(buf[offs[i] : offs[j] + 8], offs[i : j + 1] - offs[i], shingle, seed) for i, j in chunks(offs, 1 << 19)]
-            out = np.concatenate(out) if out else np.zeros(0, np.uint64)
-            yield pa.record_batch([b.column("doc_id"), pa.array(out.view(np.int64))], ["doc_id", "fp"])
+            fp, n = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            yield pa.record_batch([b.column("doc_id"), pa.array(fp.view(np.int64)), pa.array(n.astype(np.int64))], ["doc_id", "fp", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long, shingles long")
 
 
 def ring(segments: int = SEGMENTS) -> list[tuple[int, int]]:
@@ -177,13 +178,29 @@ def linked(a: np.ndarray, b: np.ndarray, most: int = MOST_BITS, segments: int =
     return chain & (np.bitwise_count(x) <= most)
 
 
-def forest(fp: np.ndarray, node: np.ndarray, most: int = MOST_BITS) -> list[tuple[int, int]]:
+def alike(a: np.ndarray, b: np.ndarray, m: np.ndarray, n: np.ndarray, most: int, similarity: float | None) -> np.ndarray:
+    """a x b: whether fingerprints of texts with m and n shingles link: at most `most` bits, and sizes that allow the similarity.
+
+    Sets of m < n shingles are alike to m / n at most, different ones of n shingles to (n - 1) / (n + 1). So short texts,
+    whose fingerprints say little, link if they are equal, and none links to an empty one.
+    """
+    bits = np.bitwise_count(a[:, None] ^ b[None, :])
+    ok = bits <= most
+    if similarity is not None:
+        low, high = np.minimum(m[:, None], n[None, :]), np.maximum(m[:, None], n[None, :])
+        ok &= low >= similarity * high
+        ok &= (bits == 0) | (low < high) | (low - 1 >= similarity * (low + 1))
+    return ok
+
+
+def forest(fp: np.ndarray, node: np.ndarray, most: int = MOST_BITS, shingles: np.ndarray | None = None, similarity: float | None = None) -> list[tuple[int, int]]:
     """(node, smallest node of its component) for each component of the links among these fingerprints.
 
     Breadth first: each fingerprint is compared with those that no component has yet, a block at a time.
     """
     order = np.argsort(node, kind="stable")
     fp, node = fp[order], node[order]
+    n = np.zeros(len(fp), np.int64) if shingles is None else shingles[order]
     left, out = np.arange(len(fp)), []
     while len(left):
         root, front, left = node[left[0]], left[:1], left[1:]
@@ -191,8 +208,8 @@ def forest(fp: np.ndarray, node: np.ndarray, most: int = MOST_BITS) -> list[tupl
             block, front = front[:64], front[64:]
             hit = np.zeros(len(left), bool)
             for i in range(0, len(left), 8192):
-                # the distance alone decides; the chains prune before, where buckets are formed
-                hit[i : i + 8192] = (np.bitwise_count(fp[block][:, None] ^ fp[left[i : i + 8192]][None, :]) <= most).any(axis=0)
+                part = left[i : i + 8192]
+                hit[i : i + 8192] = alike(fp[block], fp[part], n[block], n[part], most, similarity).any(axis=0)
             if hit.any():
                 found, left = left[hit], left[~hit]
                 out += [(x, root) for x in node[found].tolist() if x != root]
@@ -200,8 +217,8 @@ def forest(fp: np.ndarray, node: np.ndarray, most: int = MOST_BITS) -> list[tupl
     return out
 
 
-def links(nodes: DataFrame, most: int = MOST_BITS, segments: int = SEGMENTS, block: int = BLOCK) -> DataFrame:
-    """Links (a, b), b < a, that join exactly the fingerprints (node, fp distinct) within `most` bits into components.
+def links(nodes: DataFrame, most: int = MOST_BITS, segments: int = SEGMENTS, block: int = BLOCK, similarity: float | None = None) -> DataFrame:
+    """Links (a, b), b < a, that join exactly the nodes (node, fp, shingles) that are alike() into components.
 
     A bucket gives a spanning forest, not all its pairs. Buckets over `block` are dealt as pairs of blocks.
     """
@@ -210,12 +227,12 @@ def links(nodes: DataFrame, most: int = MOST_BITS, segments: int = SEGMENTS, blo
 
     def deal(batches):
         for b in batches:
-            fp, node = b.column("fp").to_numpy().view(np.uint64), b.column("node").to_numpy()
+            fp, node, n = b.column("fp").to_numpy().view(np.uint64), b.column("node").to_numpy(), b.column("shingles").to_numpy()
             for i in range(0, len(fp), 20_000):
                 key, row, own = _chain_keys(fp[i : i + 20_000], segments)
-                yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(own), pa.array(fp[i + row].view(np.int64)), pa.array(node[i + row])], ["key", "own", "fp", "node"])
+                yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(own), pa.array(fp[i + row].view(np.int64)), pa.array(node[i + row]), pa.array(n[i + row])], ["key", "own", "fp", "node", "shingles"])
 
-    dealt = nodes.select("fp", "node").mapInArrow(deal, "key long, own boolean, fp long, node long")
+    dealt = nodes.select("fp", "node", "shingles").mapInArrow(deal, "key long, own boolean, fp long, node long, shingles long")
     own = nodes.select("fp").mapInArrow(_own_keys(segments), "key long")
     large = written(own.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block), "simhash-large")
     dealt = dealt.withColumn("i", F.lit(0)).withColumn("j", F.lit(0))
@@ -223,9 +240,9 @@ def links(nodes: DataFrame, most: int = MOST_BITS, segments: int = SEGMENTS, blo
         blocks = F.ceil(2 * F.col("n") / block).cast("int")
         mine = F.pmod(F.xxhash64("fp"), blocks).cast("int")
         each = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(o, mine).alias("i"), F.greatest(o, mine).alias("j")))
-        dealt = dealt.drop("i", "j").join(large, "key", "left").withColumn("pair", F.explode(F.when(F.col("n").isNotNull(), each).otherwise(F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))))).select("key", "own", "fp", "node", "pair.i", "pair.j")
+        dealt = dealt.drop("i", "j").join(large, "key", "left").withColumn("pair", F.explode(F.when(F.col("n").isNotNull(), each).otherwise(F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))))).select("key", "own", "fp", "node", "shingles", "pair.i", "pair.j")
     order = ["key", "i", "j"]
-    dealt = dealt.repartition(*order).sortWithinPartitions(*order).select(*order, "own", "fp", "node")
+    dealt = dealt.repartition(*order).sortWithinPartitions(*order).select(*order, "own", "fp", "node", "shingles")
 
     def join(batches):
         rest = None
@@ -237,10 +254,10 @@ def links(nodes: DataFrame, most: int = MOST_BITS, segments: int = SEGMENTS, blo
                 new[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
             heads = np.flatnonzero(new)
             cut = int(heads[-1]) if len(heads) else 0  # the last group may go on
-            yield from _forests(t.slice(0, cut), heads[:-1], most)
+            yield from _forests(t.slice(0, cut), heads[:-1], most, similarity)
             rest = t.slice(cut).combine_chunks().to_batches()[0] if cut < len(t) else None
         if rest is not None:
-            yield from _forests(pa.Table.from_batches([rest]), np.zeros(1, np.int64), most)
+            yield from _forests(pa.Table.from_batches([rest]), np.zeros(1, np.int64), most, similarity)
 
     return dealt.mapInArrow(join, "a long, b long").distinct()
 
@@ -254,15 +271,15 @@ def _own_keys(segments: int):
     return run
 
 
-def _forests(t: pa.Table, heads: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+def _forests(t: pa.Table, heads: np.ndarray, most: int, similarity: float | None) -> Iterator[pa.RecordBatch]:
     if not len(t):
         return
-    own, fp, node = (t.column(x).to_numpy() for x in ("own", "fp", "node"))
+    own, fp, node, n = (t.column(x).to_numpy() for x in ("own", "fp", "node", "shingles"))
     fp, ends, out = fp.view(np.uint64), np.append(heads[1:], len(t)), []
     worth = np.flatnonzero((ends - heads > 1) & np.logical_or.reduceat(own, heads))
     for i, j in zip(heads[worth].tolist(), ends[worth].tolist()):
         _, once = np.unique(node[i:j], return_index=True)
-        out += forest(fp[i:j][once], node[i:j][once], most)
+        out += forest(fp[i:j][once], node[i:j][once], most, n[i:j][once], similarity)
     a, b = zip(*out) if out else ((), ())
     yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -298,18 +315,19 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(top)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, most: int = MOST_BITS, segments: int = SEGMENTS, seed: int = 42, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, most: int = MOST_BITS, segments: int = SEGMENTS, seed: int = 42, block: int = BLOCK, similarity: float | None = None) -> DataFrame:
     """doc_id, fp (signed) and component_id (the smallest doc_id reachable by links) of every row of docs (doc_id, text).
 
-    Documents link if their fingerprints differ in `most` bits or fewer. Equal fingerprints are one node, so copies cost
-    one row each. A null or empty text has fingerprint 0 and links like any other. A row without doc_id gets the component
+    Documents link if their fingerprints differ in `most` bits or fewer and, with a similarity, if the numbers of their
+    shingles allow it (alike()). Equal ones are one node, so copies cost one row each. A null or empty text has fingerprint 0 and links like any other. A row without doc_id gets the component
     of rows with its fingerprint, null if none has an id. Rows that repeat a doc_id get a component each by their texts.
     """
-    found = written(fingerprints(docs, shingle, seed), "fingerprints")
-    nodes = written(found.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    grouped = components(links(nodes, most, segments, block))
-    known = written(nodes.join(grouped, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "components")
-    return found.join(known, "fp", "left").select("doc_id", "fp", "component_id")
+    found = fingerprints(docs, shingle, seed)
+    found = written(found if similarity is not None else found.withColumn("shingles", F.lit(0).cast("long")), "fingerprints")
+    nodes = written(found.where("doc_id is not null").groupBy("fp", "shingles").agg(F.min("doc_id").alias("node")), "nodes")
+    grouped = components(links(nodes, most, segments, block, similarity))
+    known = written(nodes.join(grouped, "node", "left").select("fp", "shingles", F.coalesce("component", "node").alias("component_id")), "components")
+    return found.join(known, ["fp", "shingles"], "left").select("doc_id", "fp", "component_id")
 
 
 

@@ -27,7 +27,17 @@ def simhash(text, size):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def components(fps, most):
+def sizes_allow(a, b, equal, similarity):
+    low, high = sorted((a, b))
+    return low >= similarity * high and (equal or low < high or low - 1 >= similarity * (low + 1))
+
+
+def shingles(text, size):
+    n = len(words(text))
+    return max(n - size + 1, 1) if n else 0
+
+
+def components(fps, most, sizes=None, similarity=None):
     """{id: smallest id reachable} of {id: fingerprint}."""
     ids = sorted(fps)
     top = {i: i for i in ids}
@@ -39,7 +49,7 @@ def components(fps, most):
 
     for n, i in enumerate(ids):
         for j in ids[:n]:
-            if (fps[i] ^ fps[j]).bit_count() <= most:
+            if (fps[i] ^ fps[j]).bit_count() <= most and (sizes is None or sizes_allow(sizes[i], sizes[j], fps[i] == fps[j], similarity)):
                 a, b = sorted((root(i), root(j)))
                 top[b] = a
     return {i: root(i) for i in ids}

@@ -83,7 +83,8 @@ def test_xxh64_and_fingerprints(odd):
     assert got[::4].tolist() == [xxhash.xxh64_intdigest(raw[a:b].tobytes(), seed=42) for a, b in zip(starts, ends)]
     buf, offs = text_buffer(pa.array(odd, pa.string()))
     for size in (4, 5):
-        assert simhash.fingerprints_of(buf, offs, size).tolist() == [brute.simhash(t, size) for t in odd]
+        fp, n = simhash.fingerprints_of(buf, offs, size)
+        assert fp.tolist() == [brute.simhash(t, size) for t in odd] and n.tolist() == [brute.shingles(t, size) for t in odd]
 
 
 def test_simhash_query(spark, sf):
@@ -104,12 +105,20 @@ def test_links_give_components(spark, most, segments, block):
                 c ^= 1 << b
             fps.add(c)
     fps = dict(enumerate(sorted(fps)))
-    df = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in fps.items()], "node long, fp long").repartition(3)
+    df = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in fps.items()], "node long, fp long").withColumn("shingles", F.lit(0).cast("long")).repartition(3)
     found = {r.node: r.component for r in simhash.components(simhash.links(df, most, segments, block)).collect()}
     want = brute.components(fps, most)
     assert {i: found.get(i, i) for i in fps} == want
 
 
+def test_short_texts_link_only_to_copies(documents):
+    texts = ["", "a b c d e f", "a b c d e g", "a b c d e f", None, " ".join(map(str, range(40))), " ".join(map(str, range(41))), " ".join(map(str, range(60)))]
+    rows = {r.doc_id: r.component_id for r in simhash.near_duplicates(documents(texts), most=32, segments=33, similarity=0.8).collect()}
+    assert [rows[i] for i in range(5)] == [0, 1, 2, 1, 0] and rows[7] == 7
+    assert simhash.alike(np.array([1], np.uint64), np.array([3], np.uint64), np.array([9]), np.array([9]), 4, 0.8).all()
+    assert not simhash.alike(np.array([1], np.uint64), np.array([3], np.uint64), np.array([8]), np.array([8]), 4, 0.8).any()
+
+
 def test_pigeonring_keeps_all_close_pairs():
     r = np.random.default_rng(4)
     a = r.integers(0, 1 << 63, 300).astype(np.uint64)

@@ -17,7 +17,7 @@ def test_stages(spark, sf):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, s in scores.items() if s < 0.7}
 
     texts = {r.doc_id: r.text for r in kept.collect()}
-    groups = brute.components({i: brute.simhash(t, 5) for i, t in texts.items()}, corpus_pipeline.NEAR_BITS)
+    groups = brute.components({i: brute.simhash(t, 5) for i, t in texts.items()}, corpus_pipeline.NEAR_BITS, {i: brute.shingles(t, 5) for i, t in texts.items()}, corpus_pipeline.SIMILARITY)
     kept = corpus_pipeline.near_dedup(spark, kept, sf).cache()
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, top in groups.items() if i == top}
 
