@@ -26,7 +26,7 @@ from pyspark.sql.types import StructField, StructType
 
 from seqloom.llm.shared import chunks, mixed, text_buffer, word_hashes, words, written
 
-WINDOW, GRAM = 13, 5
+WINDOW, GRAM = 13, 4
 #: A key in more documents than this is dealt window by window.
 FREQUENT = 500
 #: The largest bitmap: 2**28 bits, 32 MB. A fuller one lets more stretches through and never loses one.
@@ -50,6 +50,10 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[:n], _INVERSES[:n]
 
 
+def _sids(key: np.ndarray, content: np.ndarray) -> np.ndarray:
+    return mixed(content ^ mixed(key))
+
+
 class Stretches:
     """Words and keyed stretches of the texts of one chunk.
 
@@ -84,6 +88,12 @@ class Stretches:
         self.key, self.first, self.doc = k[i], at[i], d[i]
         self.last = at[np.append(i[1:], len(at)) - 1] + 1 if len(at) else at
 
+    @classmethod
+    def sids(cls, key: np.ndarray, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """The sid of each text, whole, as a stretch under each key."""
+        s = cls(buf, offs, 1 << 62)
+        return _sids(key, s.run_hashes(s.heads[:-1], np.diff(s.heads)))
+
     def run_hashes(self, first: np.ndarray, size) -> np.ndarray:
         """Hashes of the word runs of a size that start at each index."""
         return mixed((self.sums[first + size] - self.sums[first]) * self.inverse[first] + np.uint64(1) * np.asarray(size, np.uint64))
@@ -101,7 +111,7 @@ class Stretches:
         doc = np.concatenate([self.doc[cold], np.repeat(self.doc[hot], n)]).astype(np.int64)
         content = self.run_hashes(first, last - first + self.window - 1)
         key = np.concatenate([self.key[cold], mixed(content[len(cold) :] + np.uint64(7))])
-        return key, mixed(content ^ mixed(key)), first, last, doc
+        return key, _sids(key, content), first, last, doc
 
     def joined(self) -> tuple[bytes, np.ndarray]:
         """The words with one space after each, and where each word starts there."""
@@ -275,9 +285,9 @@ def _prepared(docs: DataFrame, window: int, most_bits: int, frequent: int):
                 keep = np.array(keep)
                 joined, at = s.joined()
                 lo, hi = at[first[keep]].tolist(), (at[last[keep] + window - 1] - 1).tolist()
-                yield pa.record_batch([pa.array(key[keep].view(np.int64)), pa.array(sid[keep].view(np.int64)), pa.array(doc[keep]), pa.array([joined[x:y] for x, y in zip(lo, hi)], pa.binary())], ["key", "sid", "doc_id", "words"])
+                yield pa.record_batch([pa.array(key[keep].view(np.int64)), pa.array(doc[keep]), pa.array([joined[x:y] for x, y in zip(lo, hi)], pa.binary())], ["key", "doc_id", "words"])
 
-    dealt = ids.mapInArrow(deal, "key long, sid long, doc_id long, words binary").repartition("key").sortWithinPartitions("key", "doc_id", "sid")
+    dealt = ids.mapInArrow(deal, "key long, doc_id long, words binary").repartition("key").sortWithinPartitions("key", "doc_id")
 
     def judge(batches):
         group, of = [], None
@@ -288,7 +298,8 @@ def _prepared(docs: DataFrame, window: int, most_bits: int, frequent: int):
 
         for b in batches:
             found = []
-            for k, sid, doc, text in zip(*(c.to_pylist() for c in b.columns)):
+            sids = Stretches.sids(b.column("key").to_numpy().view(np.uint64), *text_buffer(b.column("words"))).view(np.int64)
+            for k, sid, doc, text in zip(b.column("key").to_pylist(), sids.tolist(), b.column("doc_id").to_pylist(), b.column("words").to_pylist()):
                 if k != of:
                     found += _judge_shard(group, window)
                     group, of = [], k
