@@ -59,6 +59,7 @@ def text(html):
     ("<article>A<div class='comment-list'>no</div><script>if (a<b) x('</p>')</script></article><article class='comment'>no</article>", "A"),
     ("<p>caf&eacute; &#8364;&#x20AC; &lt;b&gt;</p><!-- c <p>no</p> --><style>p{}</style>", "café €€ <b>"),
     ("<ul><li>a<li>b</ul><table><tr><td>c<td>d</table>", "a\n\nb\n\nc\n\nd"), ("<p>cut <b>off", "cut off"), ("<div hidden>no</div><p>a</p>", "a"), ("a < b <3", "a < b <3"),
+    ("<div class='page has-sidebar ads-free'><article>A</article></div>", "A"), ("<div class='page sidebar'><article>A</article></div>", "A"),
 ])
 def test_article(html, want):
     assert text(html) == want
