@@ -8,6 +8,7 @@ range with a loser tree, so the result is globally ordered by partition and row.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -43,8 +44,8 @@ def _record_id(page: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-"), F.substring(h, 13, 4), F.lit("-"), F.substring(h, 17, 4), F.lit("-"), F.substring(h, 21, 12), F.lit(">"))
 
 
-def write_archives(rows: DataFrame, path: str, per_file: int = 4000) -> None:
-    """Writes a WARC record for each row of with_revisits().
+def write_archives(rows: DataFrame, path: str, per_file: int = 4000, compression: str = "none") -> None:
+    """Writes a WARC record for each row of with_revisits(). gzip packs a file as a whole; offsets are those of the unpacked file.
 
     A revisit (identical-payload-digest profile) holds the HTTP header alone; its Content-Length is that of the payload.
     The capture time is 2024-01-01 and page_id seconds; a page without an id gets the first second.
@@ -56,7 +57,7 @@ def write_archives(rows: DataFrame, path: str, per_file: int = 4000) -> None:
     target = F.when(F.col("url").isNotNull(), F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace("url", r"[\x00-\x20\x7F]+", "%20"), F.lit(CRLF))).otherwise("")
     page = F.when(F.col("page_id").isNotNull(), F.concat(F.lit("X-Page: "), F.col("page_id").cast("string"), F.lit(CRLF))).otherwise("")
     head = F.concat(F.lit(f"WARC/1.1{CRLF}WARC-Type: "), F.col("record_type"), F.lit(f"{CRLF}WARC-Record-ID: "), _record_id(F.col("page_id")), F.lit(f"{CRLF}WARC-Date: "), ts, F.lit(CRLF), target, page, refers, F.lit("WARC-Payload-Digest: sha256:"), F.col("payload_digest"), F.lit(f"{CRLF}Content-Type: application/http; msgtype=response{CRLF}Content-Length: "), F.octet_length("block").cast("string"), F.lit(CRLF + CRLF))
-    rows.withColumn("block", block).select(F.concat(head, F.col("block"), F.lit(CRLF)).alias("value")).write.option("lineSep", CRLF).option("maxRecordsPerFile", per_file).text(path)
+    rows.withColumn("block", block).select(F.concat(head, F.col("block"), F.lit(CRLF)).alias("value")).write.option("lineSep", CRLF).option("maxRecordsPerFile", per_file).option("compression", compression).text(path)
 
 
 def records(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
@@ -90,8 +91,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     def run(batches):
         for b in batches:
             for name, data in zip(b.column(0).to_pylist(), b.column(1)):
-                rows = []
-                for at, size, head, block in records(data.as_py()):
+                rows, data = [], data.as_py()
+                for at, size, head, block in records(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
                     cut = block.index(b"\r\n\r\n") + 4
                     page, refers, kind = head.get("x-page"), head.get("x-refers-to-page"), head["warc-type"]
                     if kind == "response":
@@ -177,5 +178,5 @@ def capture_histories(pages: DataFrame, least: int = 100) -> DataFrame:
     """
     spark = pages.sparkSession
     path = folder(spark, "warc")
-    write_archives(with_revisits(pages, least), path)
+    write_archives(with_revisits(pages, least), path, compression="gzip")
     return merged_index(written(read_archives(spark, path), "runs"))
