@@ -34,7 +34,9 @@ class Vocabulary:
         for _ in range(2):  # punctuation around a word
             starts = starts + ((ends - starts > 1) & _PUNCTUATION[low[starts]])
             ends = ends - ((ends - starts > 1) & _PUNCTUATION[low[ends - 1]])
-        self.hashes, first, self.word = np.unique(word_hashes(low, starts, ends), return_index=True, return_inverse=True)
+        hashes = np.concatenate([word_hashes(low, starts[i : i + 100_000], ends[i : i + 100_000]) for i in range(0, max(1, len(starts)), 100_000)])
+        self.hashes, first, self.word = np.unique(hashes, return_index=True, return_inverse=True)
+        self.word = self.word.astype(np.int32)
         s, e = starts[first], ends[first]
         size = e - s + 2  # with a mark on either side
         at = np.concatenate([[0], np.cumsum(size)])
@@ -92,8 +94,8 @@ class Network:
 
     def _read(self, x: np.ndarray, mask: np.ndarray, way: str, keep: bool):
         """States (time, batch, STATE) of one direction; x holds the projected inputs (time, batch, 3 * STATE)."""
-        u, h, n = self.p[f"U{way}"], np.zeros((x.shape[1], STATE), np.float32), STATE
-        out, trace = np.zeros((*x.shape[:2], STATE), np.float32), []
+        u, h, n = self.p[f"U{way}"], np.zeros((x.shape[1], STATE), x.dtype), STATE
+        out, trace = np.zeros((*x.shape[:2], STATE), x.dtype), []
         for t in range(len(x)) if way == "f" else range(len(x) - 1, -1, -1):
             g = h @ u
             zr = _sigmoid(x[t, :, : 2 * n] + g[:, : 2 * n])
@@ -142,8 +144,8 @@ class Network:
         dv = np.zeros_like(vectors)
         n, used = STATE, mask > 0
         for way, part in (("f", ds[..., :n]), ("b", ds[..., n:])):
-            u, dh = p[f"U{way}"], np.zeros((index.shape[1], n), np.float32)
-            du, dx = np.zeros_like(u), np.zeros((*index.shape, 3 * n), np.float32)
+            u, dh = p[f"U{way}"], np.zeros((index.shape[1], n), vectors.dtype)
+            du, dx = np.zeros_like(u), np.zeros((*index.shape, 3 * n), vectors.dtype)
             for t, h, z, r, c, gc in reversed(traces[way]):
                 m = mask[t][:, None]
                 dn = dh + part[t]
@@ -183,14 +185,28 @@ def _filled(word: np.ndarray, first: np.ndarray, size: np.ndarray, empty: int) -
     return index, mask.astype(np.float32)
 
 
-def _log_odds(rows: np.ndarray, text: np.ndarray, label: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(documents, log odds of label 1 shrunk for few documents) of each row number, by documents that hold it."""
-    pairs = np.unique(rows.astype(np.int64) * (len(label) + 1) + text)
-    r, t = pairs // (len(label) + 1), pairs % (len(label) + 1)
-    one = np.bincount(r, weights=label[t], minlength=size)
-    n = np.bincount(r, minlength=size)
+def _log_odds(one: np.ndarray, n: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Log odds of label 1, shrunk for few documents, of items that n documents hold, `one` of them with label 1."""
     odds = np.log((one + 0.5) / (label.sum() + 1)) - np.log((n - one + 0.5) / (len(label) - label.sum() + 1))
-    return n, odds * n / (n + 4)
+    return odds * n / (n + 4)
+
+
+def _document_counts(v: Vocabulary, label: np.ndarray, at_once: int = 128) -> tuple[np.ndarray, ...]:
+    """(documents, those with label 1) of each unique word, then of each gram; a few documents at a time."""
+    out = [np.zeros(len(v.hashes)), np.zeros(len(v.hashes)), np.zeros(1 << GRAM_BITS), np.zeros(1 << GRAM_BITS)]
+    for a in range(0, len(label), at_once):
+        b = min(a + at_once, len(label))
+        doc = np.repeat(np.arange(a, b), np.diff(v.heads[a : b + 1]))
+        pairs = np.unique(v.word[v.heads[a] : v.heads[b]].astype(np.int64) * len(label) + doc)
+        u, d = pairs // len(label), pairs % len(label)
+        n = v.gram_counts[u]
+        row = np.repeat(np.arange(len(u)), n)
+        gram = v.grams[v.gram_heads[u][row] + np.arange(len(row)) - (np.cumsum(n) - n)[row]]
+        pairs = np.unique(gram * len(label) + d[row])
+        for i, x, y in ((0, u, d), (2, pairs // len(label), pairs % len(label))):
+            np.add.at(out[i], x, 1)
+            np.add.at(out[i + 1], x, label[y])
+    return tuple(out)
 
 
 def train(texts: list[str | None], labels: list[int], share: float, epochs: int = 3, least_steps: int = 240, seed: int = 7) -> Network:
@@ -203,19 +219,14 @@ def train(texts: list[str | None], labels: list[int], share: float, epochs: int
     """
     label = np.asarray(labels, np.float32)
     r = np.random.default_rng(seed)
-    buf, offs = text_buffer(pa.array(texts, pa.string()))
-    v = Vocabulary(buf, offs)
-    doc_of = np.repeat(np.arange(len(label)), np.diff(v.heads))
-    n, odds = _log_odds(v.word, doc_of, label, len(v.hashes)) if len(v.word) else (np.zeros(0), np.zeros(0))
+    v = Vocabulary(*text_buffer(pa.array(texts, pa.string())))
+    n, one, gram_n, gram_one = _document_counts(v, label)
+    odds = _log_odds(one, n, label)
     often = np.flatnonzero(n >= LEAST_DOCUMENTS)
     word = r.normal(0, 0.1, (len(often) + 1, PART))
     word[0, 0], word[1:, 0] = 0, odds[often]
     gram = r.normal(0, 0.1, (1 << GRAM_BITS, PART))
-    if len(v.word):
-        u = v.word
-        row = np.repeat(np.arange(len(u)), v.gram_counts[u])
-        inside = np.arange(len(row)) - np.repeat(np.cumsum(v.gram_counts[u]) - v.gram_counts[u], v.gram_counts[u])
-        gram[:, 0] = _log_odds(v.grams[v.gram_heads[u][row] + inside], doc_of[row], label, 1 << GRAM_BITS)[1]
+    gram[:, 0] = _log_odds(gram_one, gram_n, label)
     net = Network(v.hashes[often], word, gram, seed)
     ones = float(label.sum())
     if not 0 < ones < len(label):
@@ -223,15 +234,17 @@ def train(texts: list[str | None], labels: list[int], share: float, epochs: int
         net.p["b"][0] = 20 if ones else -20
         return net
     text, first, size = windows_of(v.heads)
-    per_word = np.append(odds, 0)
+    per_word = np.maximum(np.append(odds, 0), 0).astype(np.float32)
     index, mask = _filled(v.word, first, size, len(v.hashes))
-    rank = (np.maximum(per_word[index], 0) * mask).sum(axis=0)
+    rank = np.concatenate([(per_word[index[:, i : i + 1024]] * mask[:, i : i + 1024]).sum(axis=0) for i in range(0, len(text), 1024)])
     state = {k: (np.zeros_like(x), np.zeros_like(x)) for k, x in net.p.items()}
     step = epoch = 0
     while epoch < epochs or step < least_steps:
         if epoch:
             vectors = np.concatenate([net.inputs(v)[1], np.zeros((1, 2 * PART), np.float32)])
-            rank = np.concatenate([net.forward(vectors, index[:, i : i + 4096], mask[:, i : i + 4096]) for i in range(0, len(text), 4096)])
+            projected = {way: vectors @ net.p[f"W{way}"] + net.p[f"b{way}"] for way in "fb"}
+            rank = np.concatenate([net.forward(vectors, index[:, i : i + 1024], mask[:, i : i + 1024], projected=projected) for i in range(0, len(text), 1024)])
+            del vectors, projected
         order = np.lexsort((-rank, text))
         place = np.arange(len(text)) - np.searchsorted(text[order], text[order])
         chosen = order[place < 2 - (label[text[order]] > 0) * (epoch > 0)]  # of a toxic document the top window alone, once it is known
@@ -296,8 +309,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE, col
         chosen = part if chosen is None else chosen.union(part)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").collect()  # sum(sample) documents at most
     rows.sort(key=lambda r: (r.doc_id, r.text or ""))
-    total = sum(counts.values())
-    return train([r.text for r in rows], [r.label for r in rows], counts.get(1, 0) / total if total else 0.0)
+    total, texts, known = sum(counts.values()), [r.text for r in rows], [r.label for r in rows]
+    del rows
+    return train(texts, known, counts.get(1, 0) / total if total else 0.0)
 
 
 def scorer(docs: DataFrame, net: Network):
