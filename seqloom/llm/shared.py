@@ -1,38 +1,25 @@
-"""What the operators of this package share: the shared folder, written tables, Arrow columns, word boundaries and hashes."""
+"""What the operators of this package share: written tables, Arrow columns, word boundaries and hashes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import gc
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
-#: Most bytes that an operator sends to the driver or broadcasts; each operator checks its own against it.
-BROADCAST_BYTES = 64 << 20
+from seqloom.storage import folder, written
 
-_OWN: list[str] = []
+__all__ = ["BROADCAST_BYTES", "chunks", "folder", "mixed", "release", "text_buffer", "word_hashes", "words", "written"]
 
+#: Most bytes that an operator sends to the driver or broadcasts; each operator checks its own against it.
+BROADCAST_BYTES = 64 << 20
 
-def folder(spark: SparkSession, tag: str) -> str:
-    """A new path for a written table in the folder that all executors share (spark.checkpoint.dir).
 
-    Where that setting is absent (tests on one machine) a temporary folder stands in for it.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not _OWN:
-            _OWN.append(tempfile.mkdtemp(prefix="seqloom-"))
-        base = f"file://{_OWN[0]}"
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: cuts lineage and survives lost executors."""
-    path = folder(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of plans that are done: it does so when the driver collects what refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

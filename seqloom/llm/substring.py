@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from seqloom.llm.shared import chunks, mixed, text_buffer, word_hashes, words, written
+from seqloom.llm.shared import chunks, mixed, release, text_buffer, word_hashes, words, written
 
-WINDOW, GRAM = 13, 4
+WINDOW, GRAM = 13, 5
 #: A key in more documents than this is dealt window by window.
 FREQUENT = 500
 #: The largest bitmap: 2**28 bits, 32 MB. A fuller one lets more stretches through and never loses one.
@@ -256,6 +256,7 @@ def _prepared(docs: DataFrame, window: int, most_bits: int, frequent: int):
 
     counted = ids.mapInArrow(keys, "key long, doc_id long").groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n"))
     marked = written(counted.where("a < b").select("key", (F.col("n") > frequent).alias("hot")), "substring-keys")
+    release(docs.sparkSession)
     n = {r.hot: r.n for r in marked.groupBy("hot").agg(F.count("*").alias("n")).collect()}
     shared = Bitmap.of(marked, sum(n.values()), most_bits), Bitmap.of(marked.where("hot"), n.get(True, 0), most_bits)
     shared = docs.sparkSession.sparkContext.broadcast(shared)
@@ -307,7 +308,9 @@ def _prepared(docs: DataFrame, window: int, most_bits: int, frequent: int):
             yield answer(found)
         yield answer(list(_judge_shard(group, window)) if group else [])
 
-    return shared, written(dealt.mapInArrow(judge, "doc_id long, sid long, held binary"), "substring-held")
+    answers = written(dealt.mapInArrow(judge, "doc_id long, sid long, held binary"), "substring-held")
+    release(docs.sparkSession)
+    return shared, answers
 
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<first:int,last:int>>, kept string"

@@ -165,7 +165,6 @@ def _probe(df: DataFrame, cascade: Cascade) -> Callable[[Column], Column]:
 
     @F.pandas_udf("boolean")
     def listed(host: pd.Series) -> pd.Series:
-        known = {}
         names = host.unique().tolist()
         keys = sorted({k for h in names for k in suffixes(h)})
         bad = {k for k, x in zip(keys, shared.value.listed(keys)) if x}
