@@ -76,6 +76,15 @@ def test_wrapper_induction(spark):
     assert html_extract.extract(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 8])
+def test_copies_of_a_page_are_no_template(spark, parts):
+    html = "<body><h1>Title</h1><div><p>Only story</p></div></body>"
+    df = pages(spark, *((f"http://h.org/{i}", html) for i in range(40)), ("http://h.org/other", html.replace("story", "tale"))).repartition(parts)
+    assert html_extract.host_templates(df).first().pages == 2
+    rows = html_extract.extract(df).collect()
+    assert len(rows) == 41 and all(r.text == f"Title\n\nOnly {'story' if r.page_id < 40 else 'tale'}" for r in rows)
+
+
 def test_templates_merge_in_any_order():
     a, b, c = (html_extract.template_of(html_extract.parse(x)) for x in ("<div><p>k</p><i>1</i></div>", "<div><p>k</p><b>x</b><i>2</i></div>", "<div><p>k</p></div>"))
     for t in (html_extract.merge(html_extract.merge(a, b), c),):
