@@ -3,7 +3,8 @@
 Fingerprints are cut into a ring of SEGMENTS segments. If two differ in `most` bits or fewer, then from some segment on the
 differences of the first l segments stay within l/SEGMENTS of `most`, for every l. With 4 bits and 5 segments that is 0 bits
 in the first segment, 1 in two, 2 in three and so on. So fingerprints meet under the first two segments of each chain, one
-of them with a bit of the second segment changed; the rest of the chain prunes what met, and the full distance decides.
+of them with a bit of the second segment changed; of what met, the full distance decides. linked() tests whole chains too; it
+gives the same pairs, and the queries don't call it.
 """
 
 from __future__ import annotations
