@@ -7,7 +7,7 @@ into shards by content and each stretch of a document meets the one shard that c
 1. The key of a window is the smallest hash of its GRAM-word grams (a minimizer): equal windows have equal keys. Keys that
    occur in two documents or more are marked in a bitmap of bounded size, frequent ones in another; it is a filter only.
 2. Stretches of windows with one marked key are dealt by key (windows with a frequent key one by one, by their own hash, so
-   that no group grows with the corpus). A shard takes its stretches by ascending document, asks the suffix automaton of
+   that no group grows with the corpus; those and equal stretches are decided by hash, without an automaton). A shard takes its stretches by ascending document, asks the suffix automaton of
    the earlier documents for matching statistics, and then adds the stretch to the automaton.
 3. A document gets the answers for the stretches that it was the first to hold; its other marked stretches are copies.
    What they cover is cut out.
