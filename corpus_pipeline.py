@@ -9,16 +9,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqloom.llm.jaccard import near_duplicates
 from seqloom.llm.packing import pack
 from seqloom.llm.queries import tokenizer_path
 from seqloom.llm.shared import written
-from seqloom.llm.simhash import near_duplicates
 from seqloom.llm.substring import repeated_spans
 from seqloom.llm.toxicity import with_scores
 
-#: Fingerprints of five-word shingles within so many of 64 bits are near duplicates here, if the texts' sizes allow the
-#: similarity; a ring of one segment more.
-NEAR_BITS, SIMILARITY = 7, 0.8
+#: Texts whose five-word shingles have this Jaccard similarity or more are near duplicates.
+SIMILARITY = 0.8
+#: The radius of fingerprints that stood for it before; no stage uses it, a test still reads it.
+NEAR_BITS = 7
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +30,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates; rows without an id stay."""
-    groups = near_duplicates(docs, shingle=5, most=NEAR_BITS, segments=NEAR_BITS + 1, similarity=SIMILARITY)
+    groups = near_duplicates(docs, shingle=5, similarity=SIMILARITY)
     copies = written(groups.where("component_id < doc_id").select("doc_id").distinct(), "copies")
     return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
 

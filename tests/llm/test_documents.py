@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.llm import gif, packing, queries, simhash, substring, toxicity
+from seqloom.llm import gif, jaccard, packing, queries, simhash, substring, toxicity
 
 
 def texts_of(spark, sf):
@@ -148,6 +148,35 @@ def test_simhash_odd(documents, odd):
     assert simhash.near_duplicates(documents([])).count() == 0
 
 
+# ---- exact near duplicates
+
+
+def jaccard_groups(docs, similarity):
+    sets = {i: frozenset(tuple(w[k : k + 5]) for k in range(max(len(w) - 4, min(1, len(w))))) for i, w in ((i, brute.WORD.findall(brute.low(t))) for i, t in docs.items())}
+    top = {}
+    for i in sorted(sets):
+        hit = {top[j] for j in top if sets[i] == sets[j] or len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) - 1e-9 > 0}
+        top[i] = min(hit, default=i)
+        top.update((j, top[i]) for j in top if top[j] in hit)
+    return top
+
+
+@pytest.mark.parametrize("options", [{}, {"large": 2, "leaders": 1}, {"similarity": 0.6, "counted": 10, "large": 3, "leaders": 2}])
+def test_jaccard_groups_are_exact(documents, odd, options):
+    r = random.Random(6)
+    bases = [[str(r.randint(0, 3000)) for _ in range(r.randint(20, 150))] for _ in range(8)]
+    texts = [*odd, *odd]
+    for _ in range(150):
+        w = list(r.choice(bases))
+        for _ in range(r.randint(0, 5)):
+            w[r.randrange(len(w))] = r.choice("xyz")
+        texts.append(" ".join(w).upper() + " " * r.randint(0, 2))
+    docs = dict(enumerate(texts))
+    got = {x.doc_id: x.component_id for x in jaccard.near_duplicates(documents(texts).repartition(5), **options).collect()}
+    assert got == jaccard_groups(docs, options.get("similarity", 0.8))
+    assert jaccard.near_duplicates(documents([])).count() == 0
+
+
 # ---- GIF
 
 

@@ -38,3 +38,15 @@ def test_stages(spark, sf):
     tokens = lambda pieces: {(r.doc_id, r.doc_tokens) for r in pieces}
     assert tokens(whole) == tokens(packed)
     assert sum(r.length for r in whole) == sum(r.length for r in packed)
+
+
+def test_similar_documents_far_apart_in_bits_go(spark, documents):
+    base = [f"w{i}" for i in range(244)]
+    texts = [" ".join(base)]
+    for k in range(40):  # two words changed: a similarity of 0.92 to the first
+        texts.append(" ".join(f"x{k}" if i in (60 + k, 180 + k // 2) else w for i, w in enumerate(base)))
+    bits = [(brute.simhash(texts[0], 5) ^ brute.simhash(t, 5)).bit_count() for t in texts]
+    assert max(bits) > corpus_pipeline.NEAR_BITS
+    one = bits.index(max(bits))
+    kept = corpus_pipeline.near_dedup(spark, documents([texts[0], texts[one], "another text of its own"]), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2]
