@@ -2,26 +2,17 @@
 
 from __future__ import annotations
 
-import gc
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
 
 from seqloom.storage import folder, written
 
-__all__ = ["BROADCAST_BYTES", "chunks", "folder", "mixed", "release", "text_buffer", "word_hashes", "words", "written"]
+__all__ = ["BROADCAST_BYTES", "chunks", "folder", "mixed", "text_buffer", "word_hashes", "words", "written"]
 
 #: Most bytes that an operator sends to the driver or broadcasts; each operator checks its own against it.
 BROADCAST_BYTES = 64 << 20
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of plans that are done: it does so when the driver collects what refers to them."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column; a null is an empty text.
 

@@ -4,11 +4,14 @@ A window is `window` consecutive words. A word goes if a window over it also sta
 Broadcasting automata of the whole corpus to every document would cost the square of the corpus, so the reference is cut
 into shards by content and each stretch of a document meets the one shard that can match it:
 
-1. The key of a window is the smallest hash of its GRAM-word grams (a minimizer): equal windows have equal keys. Keys that
-   occur in two documents or more are marked in a bitmap of bounded size, frequent ones in another; it is a filter only.
-2. Stretches of windows with one marked key are dealt by key (windows with a frequent key one by one, by their own hash, so
-   that no group grows with the corpus; those and equal stretches are decided by hash, without an automaton). A shard takes its stretches by ascending document, asks the suffix automaton of
-   the earlier documents for matching statistics, and then adds the stretch to the automaton.
+1. The key of a window is the smallest hash of its GRAM-word grams (a minimizer): equal windows have equal keys. A stretch is
+   a run of windows with one key. For each key a first pass finds whether two documents have it, and whether all its
+   stretches have the same words. Bitmaps of bounded size tell every task; they are filters and lose no key.
+2. Stretches of keys whose stretches differ go, as words, to the key's shard. It takes them by ascending document, asks the
+   suffix automaton of the earlier documents for matching statistics, and then adds the stretch to the automaton. Where all
+   stretches of a key are equal, matching statistics would only say so again: their hashes alone (128 bits: key and words)
+   go out, and the smallest document is found by a grouped minimum. So do, window by window, those of keys in more than
+   FREQUENT documents, so that no shard grows with the corpus.
 3. A document gets the answers for the stretches that it was the first to hold; its other marked stretches are copies.
    What they cover is cut out.
 """
@@ -24,13 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from seqloom.llm.shared import chunks, mixed, release, text_buffer, word_hashes, words, written
+from seqloom.llm.shared import chunks, mixed, text_buffer, word_hashes, words, written
 
 WINDOW, GRAM = 13, 5
 #: A key in more documents than this is dealt window by window.
 FREQUENT = 500
-#: The largest bitmap: 2**28 bits, 32 MB. A fuller one lets more stretches through and never loses one.
-MOST_BITS = 28
+#: The largest bitmap: 2**27 bits, 16 MB; there are three. A fuller one lets more stretches through and never loses one.
+MOST_BITS = 27
+#: Keys that a task of the first pass holds before it sends them on.
+HELD_KEYS = 2_000_000
 
 _C = np.uint64(0xD6E8FEB86659FD93)
 _POWERS = np.ones(1, np.uint64)
@@ -88,30 +93,25 @@ class Stretches:
         self.key, self.first, self.doc = k[i], at[i], d[i]
         self.last = at[np.append(i[1:], len(at)) - 1] + 1 if len(at) else at
 
-    @classmethod
-    def sids(cls, key: np.ndarray, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        """The sid of each text, whole, as a stretch under each key."""
-        s = cls(buf, offs, 1 << 62)
-        return _sids(key, s.run_hashes(s.heads[:-1], np.diff(s.heads)))
-
     def run_hashes(self, first: np.ndarray, size) -> np.ndarray:
         """Hashes of the word runs of a size that start at each index."""
         return mixed((self.sums[first + size] - self.sums[first]) * self.inverse[first] + np.uint64(1) * np.asarray(size, np.uint64))
 
-    def chosen(self, shared: Bitmap, frequent: Bitmap) -> tuple[np.ndarray, ...]:
-        """(key, sid, first, last, doc) of what is dealt: marked stretches, those of frequent keys window by window."""
-        mark = shared.has(self.key)
-        hot = mark & frequent.has(self.key)
-        cold = np.flatnonzero(mark & ~hot)
+    def chosen(self, marks: Marks) -> tuple[np.ndarray, ...]:
+        """(key, content, first, last, doc, whether words go) of what is dealt: marked stretches, those of hot keys window by window."""
+        shared = marks.shared.has(self.key)
+        hot = shared & marks.hot.has(self.key)
+        mixed_key = shared & ~hot & marks.mixed.has(self.key)
+        cold = np.flatnonzero(shared & ~hot)
         hot = np.flatnonzero(hot)
         n = (self.last - self.first)[hot]
         single = np.repeat(self.first[hot] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         first = np.concatenate([self.first[cold], single]).astype(np.int64)
         last = np.concatenate([self.last[cold], single + 1]).astype(np.int64)
         doc = np.concatenate([self.doc[cold], np.repeat(self.doc[hot], n)]).astype(np.int64)
-        content = self.run_hashes(first, last - first + self.window - 1)
-        key = np.concatenate([self.key[cold], mixed(content[len(cold) :] + np.uint64(7))])
-        return key, _sids(key, content), first, last, doc
+        key = np.concatenate([self.key[cold], np.repeat(self.key[hot], n)])
+        by_words = np.concatenate([mixed_key[cold], np.zeros(len(single), bool)])
+        return key, self.run_hashes(first, last - first + self.window - 1), first, last, doc, by_words
 
     def joined(self) -> tuple[bytes, np.ndarray]:
         """The words with one space after each, and where each word starts there."""
@@ -138,22 +138,67 @@ class Bitmap:
 
     def has(self, h: np.ndarray) -> np.ndarray:
         at = h >> np.uint64(64 - self.bits)
-        return (self.packed[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+        return self.packed[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1
+
+    @staticmethod
+    def size(n: int, most_bits: int) -> int:
+        """Its bits for n hashes, as a power of two: 16 to 32 for each, 2**most_bits at most."""
+        return max(12, min(most_bits, (16 * n).bit_length()))
+
+
+class Marks:
+    """Bitmaps of the keys that two documents have, of those whose stretches differ, and of those in many documents."""
+
+    KINDS = ("shared", "mixed", "hot")
+
+    def __init__(self, shared: Bitmap, mixed: Bitmap, hot: Bitmap):
+        self.shared, self.mixed, self.hot = shared, mixed, hot
 
     @staticmethod
-    def of(keys: DataFrame, n: int, most_bits: int) -> Bitmap:
-        """The bitmap of the n keys in the column `key`: 16 bits or more a key, 2**most_bits at most."""
-        bits = max(12, min(most_bits, (16 * n).bit_length()))
-        packed = np.zeros(1 << bits - 6, np.uint64)
-        if n:
-            at = f"shiftrightunsigned(key, {64 - bits})"
-            got = keys.selectExpr(f"shiftright({at}, 6) AS word", f"shiftleft(1L, CAST({at} & 63 AS int)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # 2**most_bits / 64 rows at most
-            packed[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
-        return Bitmap(bits, packed)
-
-
-def _parts(batch, window: int, most: int = 1 << 20) -> Iterator[tuple[Stretches, int, int]]:
-    buf, offs = text_buffer(batch.column("text"))
+    def of(marked: DataFrame, most_bits: int, buckets: int) -> Marks:
+        """The bitmaps of a written table (bucket, key, kind); kind 1 also counts as shared, kind 2 as both others.
+
+        A bucket's keys share their top bits, so it fills a part of a bitmap of its own: the driver gets those parts, 2**most_bits
+        bits at most for each bitmap.
+        """
+        n = {r.kind: r.n for r in marked.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+        counts = [sum(n.values()), n.get(1, 0) + n.get(2, 0), n.get(2, 0)]
+        top = buckets.bit_length() - 1
+        bits = [max(Bitmap.size(c, most_bits), top + 3) for c in counts]
+
+        def fill(batches):
+            of, parts = None, []
+
+            def row():
+                which = range(len(bits))
+                at = [of << m - top >> 3 for m in bits]
+                return pa.record_batch([pa.array(which, pa.int32()), pa.array(at, pa.int64()), pa.array([np.packbits(x, bitorder="little").tobytes() for x in parts], pa.binary())], ["which", "at", "part"])
+
+            for b in batches:
+                key, kind = b.column("key").to_numpy().view(np.uint64), b.column("kind").to_numpy()
+                bucket = key >> np.uint64(64 - top)
+                for own in np.split(np.arange(len(key)), np.flatnonzero(bucket[1:] != bucket[:-1]) + 1):
+                    if not len(own):
+                        continue
+                    if of != int(bucket[own[0]]):
+                        if parts:
+                            yield row()
+                        of, parts = int(bucket[own[0]]), [np.zeros(1 << m - top, np.uint8) for m in bits]
+                    for i, m in enumerate(bits):
+                        k = key[own][kind[own] >= i] >> np.uint64(64 - m)
+                        parts[i][(k & np.uint64((1 << m - top) - 1)).astype(np.int64)] = 1
+            if parts:
+                yield row()
+
+        maps = [np.zeros(1 << m - 3, np.uint8) for m in bits]
+        if sum(counts):
+            for r in marked.select("key", "kind").mapInArrow(fill, "which int, at long, part binary").toLocalIterator():
+                raw = np.frombuffer(r.part, np.uint8)
+                maps[r.which][r.at : r.at + len(raw)] |= raw
+        return Marks(*(Bitmap(m, x) for m, x in zip(bits, maps)))
+
+
+def _stretches(buf: np.ndarray, offs: np.ndarray, window: int, most: int = 1 << 20) -> Iterator[tuple[Stretches, int, int]]:
     for i, j in chunks(offs, most):
         o = offs[i : j + 1]
         yield Stretches(buf[o[0] : o[-1] + 8], o - o[0], window), i, j
@@ -219,17 +264,13 @@ class SuffixAutomaton:
 def _judge_shard(rows: list[tuple[int, int, bytes]], window: int) -> Iterator[tuple[int, int, bytes]]:
     """(document, sid, a byte for each window: 1 if an earlier document holds it) of each stretch's first document.
 
-    rows: (document, sid, words) of one key by ascending document.
+    rows: (document, sid, words) of one key by ascending document; a later document with the same words has copies alone.
     """
-    first: dict[int, tuple[int, bytes]] = {}
+    first: dict[bytes, tuple[int, int]] = {}
     for doc, sid, text in rows:
-        first.setdefault(sid, (doc, text))
-    if len(first) == 1:
-        for sid, (doc, text) in first.items():
-            yield doc, sid, b""
-        return
+        first.setdefault(text, (doc, sid))
     automaton, waiting, of = SuffixAutomaton(), [], None
-    for sid, (doc, text) in first.items():
+    for text, (doc, sid) in first.items():
         if doc != of:
             for w in waiting:
                 automaton.add(w)
@@ -240,77 +281,176 @@ def _judge_shard(rows: list[tuple[int, int, bytes]], window: int) -> Iterator[tu
         yield doc, sid, held if any(held) else b""
 
 
-def _prepared(docs: DataFrame, window: int, most_bits: int, frequent: int):
-    """(bitmaps, written answers doc_id, sid, held) of documents with id and text."""
-    ids = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
+def _packed5(x: np.ndarray) -> bytes:
+    """The lower five bytes of each."""
+    return x.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _unpacked5(raw: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(n, 5)
+    return out.view(np.uint64).ravel()
+
+
+def _summed(key: np.ndarray, low: np.ndarray, high: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(key, least hash, greatest hash, sum of n) of each key, ascending."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    if not len(heads):
+        return key, low, high, n
+    return key[heads], np.minimum.reduceat(low[order], heads), np.maximum.reduceat(high[order], heads), np.add.reduceat(n[order], heads)
+
+
+def _marks(ids: DataFrame, window: int, most_bits: int, frequent: int) -> Marks:
+    """The marks of the keys of all texts (doc_id, text).
+
+    What is shuffled are blocks of keys by their top bits: five more bytes of the key, five of a hash of the stretch, and how
+    many rows have it (127 at most a block; the top bit says that a task already saw different stretches). Keys that are
+    equal in those bytes count as one, which marks more, never less; two different stretches whose five bytes are equal
+    count as equal, once in 10**12 keys, and then their common windows are only found where the stretches are equal.
+    """
+    buckets = 1 << min(24, (4 * int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))).bit_length())
+    bits = buckets.bit_length() - 1
+    lower = np.uint64((1 << 40) - 1)
 
     def keys(batches):
+        held, size = [], 0
+
+        def send():
+            key, low, high, n = _summed(*(np.concatenate(x) for x in zip(*held)))
+            code = (np.minimum(n, 127) | np.where(low != high, 128, 0)).astype(np.uint8)
+            bucket = key >> np.uint64(64 - bits)
+            heads = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            ends = np.append(heads[1:], len(key)).tolist()
+            rest = key >> np.uint64(24 - bits) & lower
+            parts = [_packed5(rest[i:j]) + _packed5(low[i:j]) + code[i:j].tobytes() for i, j in zip(heads.tolist(), ends)]
+            return pa.record_batch([pa.array(bucket[heads].astype(np.int64)), pa.array(parts, pa.binary())], ["bucket", "part"])
+
         for b in batches:
-            ids = b.column("doc_id").to_numpy()
-            for s, i, _ in _parts(b, window):
-                order = np.lexsort((s.key, s.doc))
+            for s, _, _ in _stretches(*text_buffer(b.column("text")), window):
+                order = np.lexsort((s.doc, s.key))
                 k, d = s.key[order], s.doc[order]
-                new = np.ones(len(k), bool)
-                new[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
-                yield pa.record_batch([pa.array(k[new].view(np.int64)), pa.array(ids[i + d[new]])], ["key", "doc_id"])
+                h = (s.run_hashes(s.first, s.last - s.first + window - 1) & lower)[order]
+                once = np.ones(len(k), np.int64)
+                once[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
+                held.append(_summed(k, h, h, once))
+                size += len(held[-1][0])
+                if size >= HELD_KEYS:
+                    yield send()
+                    held, size = [], 0
+        if size:
+            yield send()
+
+    def mark(batches):
+        of, parts = None, []
+
+        def kinds():
+            n = [len(x) // 11 for x in parts]
+            key = np.concatenate([_unpacked5(x[: 5 * m], m) for x, m in zip(parts, n)])
+            h = np.concatenate([_unpacked5(x[5 * m : 10 * m], m) for x, m in zip(parts, n)])
+            code = np.concatenate([np.frombuffer(x, np.uint8)[10 * m :] for x, m in zip(parts, n)]).astype(np.int64)
+            unlike = code >= 128
+            key, low, high, n = _summed(key, np.where(unlike, np.uint64(0), h), np.where(unlike, lower, h), code & 127)
+            some = n > 1
+            kind = np.where(low != high, np.where(n > frequent, 2, 1), 0)[some].astype(np.int32)
+            key = np.uint64(of) << np.uint64(64 - bits) | key[some] << np.uint64(24 - bits)
+            return pa.record_batch([pa.array(key.view(np.int64)), pa.array(kind)], ["key", "kind"])
+
+        for b in batches:
+            for bucket, part in zip(b.column("bucket").to_pylist(), b.column("part").to_pylist()):
+                if bucket != of and parts:
+                    yield kinds()
+                    parts = []
+                of = bucket
+                parts.append(part)
+        if parts:
+            yield kinds()
 
-    counted = ids.mapInArrow(keys, "key long, doc_id long").groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n"))
-    marked = written(counted.where("a < b").select("key", (F.col("n") > frequent).alias("hot")), "substring-keys")
-    release(docs.sparkSession)
-    n = {r.hot: r.n for r in marked.groupBy("hot").agg(F.count("*").alias("n")).collect()}
-    shared = Bitmap.of(marked, sum(n.values()), most_bits), Bitmap.of(marked.where("hot"), n.get(True, 0), most_bits)
-    shared = docs.sparkSession.sparkContext.broadcast(shared)
+    dealt = ids.mapInArrow(keys, "bucket long, part binary").repartition("bucket").sortWithinPartitions("bucket")
+    return Marks.of(written(dealt.mapInArrow(mark, "key long, kind int"), "substring-keys"), most_bits, buckets)
+
+
+def _answers(ids: DataFrame, marks, window: int) -> DataFrame:
+    """Written answers (doc_id, sid, held): a row for the first document of each dealt stretch.
+
+    Words are dealt by key. What the hash decides is dealt by sid, which with the content names 128 bits; a task sends the
+    smallest document for each, so no shard gets more of them than tasks.
+    """
 
     def deal(batches):
-        sent: dict[int, int] = {}  # of frequent keys: the smallest document sent so far
+        held, size = [], 0
+
+        def send():
+            sid, content, doc = (np.concatenate(x) for x in zip(*held))
+            own = np.lexsort((doc, content, sid))
+            sid, content, doc = sid[own], content[own], doc[own]
+            new = np.ones(len(sid), bool)
+            new[1:] = (sid[1:] != sid[:-1]) | (content[1:] != content[:-1])
+            return row(sid[new], content[new], doc[new], pa.nulls(int(new.sum()), pa.binary()))
+
+        def row(shard, content, doc, text):
+            return pa.record_batch([pa.array(shard.view(np.int64)), pa.array(content.view(np.int64)), pa.array(doc), text], ["shard", "content", "doc_id", "words"])
+
         for b in batches:
             ids = b.column("doc_id").to_numpy()
-            for s, i, _ in _parts(b, window):
-                key, sid, first, last, doc = s.chosen(*shared.value)
+            for s, i, _ in _stretches(*text_buffer(b.column("text")), window):
+                key, content, first, last, doc, by_words = s.chosen(marks.value)
                 doc = ids[i + doc]
-                order = np.lexsort((doc, sid))
-                new = np.ones(len(order), bool)
-                new[1:] = sid[order[1:]] != sid[order[:-1]]
-                order = order[new]
-                if len(sent) > 1_000_000:
-                    sent.clear()
-                keep = []
-                for j, x, d, single in zip(order.tolist(), sid[order].tolist(), doc[order].tolist(), (last - first == 1)[order].tolist()):
-                    if single:
-                        if sent.get(x, d + 1) <= d:
-                            continue
-                        sent[x] = d
-                    keep.append(j)
-                if not keep:
-                    continue
-                keep = np.array(keep)
-                joined, at = s.joined()
-                lo, hi = at[first[keep]].tolist(), (at[last[keep] + window - 1] - 1).tolist()
-                yield pa.record_batch([pa.array(key[keep].view(np.int64)), pa.array(doc[keep]), pa.array([joined[x:y] for x, y in zip(lo, hi)], pa.binary())], ["key", "doc_id", "words"])
-
-    dealt = ids.mapInArrow(deal, "key long, doc_id long, words binary").repartition("key").sortWithinPartitions("key", "doc_id")
+                rest = ~by_words
+                held.append((_sids(key[rest], content[rest]), content[rest], doc[rest]))
+                size += int(rest.sum())
+                if size >= HELD_KEYS // 2:
+                    yield send()
+                    held, size = [], 0
+                own = np.flatnonzero(by_words)
+                if len(own):
+                    own = own[np.lexsort((doc[own], content[own], key[own]))]
+                    new = np.ones(len(own), bool)
+                    new[1:] = (key[own[1:]] != key[own[:-1]]) | (content[own[1:]] != content[own[:-1]])
+                    own = own[new]  # of equal ones the smallest document
+                    joined, at = s.joined()
+                    texts = [joined[x:y] for x, y in zip(at[first[own]].tolist(), (at[last[own] + window - 1] - 1).tolist())]
+                    yield row(key[own], content[own], doc[own], pa.array(texts, pa.binary()))
+        if size:
+            yield send()
 
     def judge(batches):
-        group, of = [], None
+        group, of, was, done = [], None, None, set()
 
         def answer(found):
             cols = list(zip(*found)) or [(), (), ()]
             return pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], ["doc_id", "sid", "held"])
 
         for b in batches:
-            found = []
-            sids = Stretches.sids(b.column("key").to_numpy().view(np.uint64), *text_buffer(b.column("words"))).view(np.int64)
-            for k, sid, doc, text in zip(b.column("key").to_pylist(), sids.tolist(), b.column("doc_id").to_pylist(), b.column("words").to_pylist()):
+            by_words = b.column("words").is_valid().to_numpy(zero_copy_only=False)
+            shard, content, doc = (b.column(x).to_numpy() for x in ("shard", "content", "doc_id"))
+            rest = np.flatnonzero(~by_words)
+            if len(rest):
+                own = rest[np.lexsort((doc[rest], content[rest], shard[rest]))]
+                new = np.ones(len(own), bool)
+                new[1:] = (shard[own[1:]] != shard[own[:-1]]) | (content[own[1:]] != content[own[:-1]])
+                own = own[new]
+                own = own[[int(x) != was or int(c) not in done for x, c in zip(shard[own], content[own])]] if shard[rest[0]] == was else own
+                last = int(shard[rest[-1]])  # this shard may go on
+                done = {int(c) for c in content[rest[shard[rest] == last]]} | (done if last == was else set())
+                was = last
+                yield pa.record_batch([pa.array(doc[own]), pa.array(shard[own]), pa.nulls(len(own), pa.binary())], ["doc_id", "sid", "held"])
+            t, found = b.filter(pa.array(by_words)), []
+            own = np.flatnonzero(by_words)
+            sids = _sids(shard[own].view(np.uint64), content[own].view(np.uint64)).view(np.int64)
+            for k, sid, d, text in zip(shard[own].tolist(), sids.tolist(), doc[own].tolist(), t.column("words").to_pylist()):
                 if k != of:
                     found += _judge_shard(group, window)
                     group, of = [], k
-                group.append((doc, sid, text))
-            yield answer(found)
-        yield answer(list(_judge_shard(group, window)) if group else [])
+                group.append((d, sid, text))
+            if found:
+                yield answer(found)
+        if group:
+            yield answer(list(_judge_shard(group, window)))
 
-    answers = written(dealt.mapInArrow(judge, "doc_id long, sid long, held binary"), "substring-held")
-    release(docs.sparkSession)
-    return shared, answers
+    dealt = ids.mapInArrow(deal, "shard long, content long, doc_id long, words binary").repartition("shard").sortWithinPartitions("shard", "doc_id")
+    return written(dealt.mapInArrow(judge, "doc_id long, sid long, held binary"), "substring-answers")
 
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<first:int,last:int>>, kept string"
@@ -325,28 +465,47 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, most_bits: int = MOST_
     Rows that repeat a doc_id are one document: they take nothing from each other. Other columns are ignored, but for those
     in `carry`, which come back in the struct `carried`.
     """
-    shared, answers = _prepared(docs, window, most_bits, frequent)
+    spark = docs.sparkSession
+    ids = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
+    marks = spark.sparkContext.broadcast(_marks(ids, window, most_bits, frequent))
+    answers = _answers(ids, marks, window)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.struct(*[docs[c] for c in carry] or [F.lit(0).alias("none")]).alias("carried"))
     kind = rows.schema["carried"].dataType
-    both = answers.withColumn("text", F.lit(None).cast("string")).withColumn("carried", F.lit(None).cast(kind)).withColumn("kind", F.lit(0)).unionByName(
-        rows.withColumn("sid", F.lit(None).cast("long")).withColumn("held", F.lit(None).cast("binary")).withColumn("kind", F.lit(1)))
-    both = both.repartition(F.coalesce("doc_id", F.xxhash64("text"))).sortWithinPartitions("doc_id", "kind").select("doc_id", "kind", "sid", "held", "text", "carried")
+    rows = rows.withColumn("place", F.coalesce("doc_id", F.monotonically_increasing_id()))  # a row without an id needs no answers
+    packed = StructType([*StructType.fromDDL("place long, kind int, doc_id long, size long, body binary"), StructField("carried", kind)])
+
+    def pack(batches):
+        codec = pa.Codec("zstd", 1)
+        for b in batches:
+            raw = b.column("text").cast(pa.binary())
+            size = [-1 if x is None else len(x) for x in raw.to_pylist()]
+            body = [None if n < 0 else codec.compress(x.as_buffer(), asbytes=True) for n, x in zip(size, raw)]
+            yield pa.record_batch([b.column("place"), pa.array(np.ones(len(b), np.int32)), b.column("doc_id"), pa.array(size, pa.int64()), pa.array(body, pa.binary()), b.column("carried")], packed.names)
+
+    answers = answers.select(F.col("doc_id").alias("place"), F.lit(0).alias("kind"), "doc_id", F.col("sid").alias("size"), F.col("held").alias("body"), F.lit(None).cast(kind).alias("carried"))
+    both = answers.unionByName(rows.mapInArrow(pack, packed)).repartition("place").sortWithinPartitions("place", "kind", F.col("doc_id").asc_nulls_last()).drop("place")
     span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("spans", span), ("kept", pa.string())])
 
     def cut(batches):
-        known: dict[int, dict[int, bytes]] = {}
+        codec, known = pa.Codec("zstd", 1), {}
         for b in batches:
             kinds = b.column("kind").to_numpy()
             a = b.filter(pa.array(kinds == 0))
-            for doc, sid, held in zip(a.column("doc_id").to_pylist(), a.column("sid").to_pylist(), a.column("held").to_pylist()):
-                known.setdefault(doc, {})[sid] = held
+            for doc, sid, held in zip(a.column("doc_id").to_pylist(), a.column("size").to_pylist(), a.column("body").to_pylist()):
+                known.setdefault(doc, {})[sid] = held or b""
             t = b.filter(pa.array(kinds == 1))
-            ids = t.column("doc_id").to_pylist()
-            for s, i, j in _parts(t, window):
-                out = _cut(s, ids[i:j], shared.value, known, t.column("text").slice(i, j - i) if texts else None)
+            ids, size = t.column("doc_id").to_pylist(), t.column("size").to_numpy()
+            at = 0
+            while at < len(ids):  # texts are unpacked a megabyte at a time
+                to = at + max(1, int(np.searchsorted(np.cumsum(np.maximum(size[at:], 0)), 1 << 20, "right")))
+                raw = [b"" if n < 0 else codec.decompress(x.as_buffer(), decompressed_size=n, asbytes=True) for n, x in zip(size[at:to].tolist(), t.column("body")[at:to])]
+                offs = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+                s = Stretches(np.frombuffer(b"".join([*raw, bytes(8)]), np.uint8), offs, window)
+                out = _cut(s, ids[at:to], marks.value, known, [None if n < 0 else x for n, x in zip(size[at:to].tolist(), raw)] if texts else None)
                 found = pa.RecordBatch.from_pylist(out, schema)
-                yield pa.record_batch([*found.columns, t.column("carried").slice(i, j - i)], [*schema.names, "carried"])
+                yield pa.record_batch([*found.columns, t.column("carried").slice(at, to - at)], [*schema.names, "carried"])
+                at = to
             if len(b):
                 last = b.column("doc_id")[-1].as_py()
                 known = {last: known[last]} if last in known else {}
@@ -355,8 +514,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, most_bits: int = MOST_
     return out if carry else out.drop("carried")
 
 
-def _cut(s: Stretches, ids: list, bitmaps: tuple, known: dict, texts) -> list[dict]:
-    key, sid, first, last, doc = s.chosen(*bitmaps)
+def _cut(s: Stretches, ids: list, marks: Marks, known: dict, texts: list | None) -> list[dict]:
+    key, content, first, last, doc, _ = s.chosen(marks)
+    sid = _sids(key, content)
     order = np.argsort(doc, kind="stable")
     bounds = np.searchsorted(doc[order], np.arange(len(ids) + 1)).tolist()
     sid, first, last = sid.view(np.int64)[order].tolist(), first[order].tolist(), last[order].tolist()
@@ -372,17 +532,16 @@ def _cut(s: Stretches, ids: list, bitmaps: tuple, known: dict, texts) -> list[di
                 if held is None:  # another document was the first to hold it
                     edge[f - lo] += 1
                     edge[e - lo + s.window - 1] -= 1
-                elif held:
+                else:
                     for i, one in enumerate(held):
                         if one:
                             edge[f + i - lo] += 1
                             edge[f + i - lo + s.window] -= 1
             gone = np.flatnonzero(np.diff(np.cumsum(edge[:-1]) > 0, prepend=False, append=False))
             spans = gone.reshape(-1, 2).tolist()
-        whole = at[lo], max(at[lo], at[hi] - 1)
-        text = texts[r].as_py() if texts is not None else None
+        raw = texts[r] if texts is not None else None
         if spans:
-            kept, start, raw, cut, from_ = [], lo, text.encode() if text is not None else None, [], 0
+            kept, start, cut, from_ = [], lo, [], 0
             base = int(s.offs[r])
             for a, e in [*spans, [hi - lo, hi - lo]]:
                 if start < lo + a:
@@ -392,9 +551,8 @@ def _cut(s: Stretches, ids: list, bitmaps: tuple, known: dict, texts) -> list[di
                     cut.append(raw[from_:to])
                     from_ = s.starts[lo + e] - base if lo + e < hi else len(raw)
                 start = lo + e
-            kept = b" ".join(kept)
-            text = b"".join(cut).decode() if raw is not None else None
+            kept, raw = b" ".join(kept), b"".join(cut) if raw is not None else None
         else:
-            kept = joined[whole[0] : whole[1]]
-        out.append({"doc_id": doc_id, "n_words": hi - lo, "n_removed": sum(e - a for a, e in spans), "kept_sha256": hashlib.sha256(kept).hexdigest(), "spans": [{"first": a, "last": e} for a, e in spans], "kept": text})
+            kept = joined[at[lo] : max(at[lo], at[hi] - 1)]
+        out.append({"doc_id": doc_id, "n_words": hi - lo, "n_removed": sum(e - a for a, e in spans), "kept_sha256": hashlib.sha256(kept).hexdigest(), "spans": [{"first": a, "last": e} for a, e in spans], "kept": None if raw is None else raw.decode()})
     return out
