@@ -1,14 +1,17 @@
-"""Near duplicates by the exact Jaccard similarity of word shingles, by prefix filtering.
-
-Shingles have one order for all texts. If two sets of n and m shingles have a similarity of t or more, they share
-t / (1 + t) * (n + m) shingles or more, so the first n - ceil(t * n) + 1 of one and the like of the other have one in common;
-at the first that they share, enough shingles must be left in both. So sets meet under the shingles of their prefixes, and no
-pair of the similarity is lost, whatever the order is. It only decides how many meet: shingles that a sample of texts
-has often come last. Each candidate is decided by its whole sets.
+"""Near duplicates by the exact Jaccard similarity of word shingles: SimHash first, prefix filtering for the rest.
+
+Fingerprints of sets that are alike differ in few bits, mostly; so the pigeonring of simhash.links() finds most copies with
+few changes, but a similarity of 0.8 alone may mean ten bits and more. What it can't reach, prefix filtering finds: shingles
+have one order for all texts. If two sets of n and m shingles have a similarity of t or more, they share t / (1 + t) * (n + m)
+shingles or more, so the first n - ceil(t * n) + 1 of one and the like of the other have one in common; at the first that
+they share, enough shingles must be left in both. So sets meet under the shingles of their prefixes, and no pair of the
+similarity is lost, whatever the order is. It only decides how many meet: shingles that a sample of texts has often
+come last. Each candidate, of either way, is decided by its whole sets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,15 +20,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.shared import BROADCAST_BYTES, chunks, mixed, text_buffer, word_hashes, words, written
-from seqloom.llm.simhash import components
+from seqloom.llm.shared import BROADCAST_BYTES, chunks, mixed, packed5, text_buffer, unpacked5, word_hashes, words, written
+from seqloom.llm.simhash import components, links, majority
 
 #: Texts whose shingles are counted for the order, and the count from which one comes late.
 COUNTED, OFTEN = 4000, 3
 #: A group of more sets than this is first compared with its LEADERS, then in those pairs that no link has joined yet.
-LARGE, LEADERS = 16, 8
+LARGE, LEADERS = 2, 1
+#: A group under a counted shingle is dealt to so many tasks, whose leaders meet again; rows of it that are compared at once.
+SALTS, BLOCK = 1024, 2000
+#: Sets that are compared with one set in one task.
+HUB = 256
+#: Prefix rows that a task holds before it sends them on.
+HELD = 1_000_000
 _M1, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x94D049BB133111EB)
 _SLACK = 1e-9
+#: Sizes are sent as logarithms to this base, places as so many parts of the size; both are read with that much slack.
+_BASE, _PARTS = 1.0005, 250
 
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +80,7 @@ def _sets(batches, shingle: int, once: bool = True) -> Iterator[tuple]:
 
 
 def _prefixes(g: np.ndarray, edges: np.ndarray, often: np.ndarray, times: np.ndarray, similarity: float) -> tuple[np.ndarray, ...]:
-    """(shingle, set, place) of each set's prefix: by how often a shingle was counted, then by its hash."""
+    """(shingle, set, place, whether it was counted) of each set's prefix: by how often a shingle was counted, then by its hash."""
     n = np.diff(edges)
     of = np.repeat(np.arange(len(n)), n)
     late = np.zeros(len(g), np.int64)
@@ -79,163 +90,316 @@ def _prefixes(g: np.ndarray, edges: np.ndarray, often: np.ndarray, times: np.nda
     order = np.lexsort((g, late, of))
     place = np.arange(len(g)) - np.repeat(edges[:-1], n)
     kept = place < np.repeat(n - np.ceil(similarity * n - _SLACK) + 1, n)
-    return g[order][kept], of[kept], place[kept]
+    return g[order][kept], of[kept], place[kept], late[order][kept] > 0
+
+
+def _possible(x, y, i, j, similarity: float):
+    """Whether sets whose sizes are sent as x and y, with the first common shingle at the parts i and j, can have the similarity."""
+    n, m = _BASE ** np.asarray(x, np.float64), _BASE ** np.asarray(y, np.float64)
+    most = _BASE * (1 + _SLACK)
+    left = np.minimum(n * most * (1 - np.asarray(i) / _PARTS), m * most * (1 - np.asarray(j) / _PARTS))
+    return (np.minimum(n, m) * most >= similarity * np.maximum(n, m)) & (left >= similarity / (1 + similarity) * (n + m) * (1 - _SLACK))
+
+
+_ROW = np.dtype([("node", "<u8"), ("size", "<u2"), ("place", "u1")])
+#: Rows under a counted shingle also hold that shingle: they are dealt by another hash.
+_LATE = np.dtype([*_ROW.descr, ("token", "<u8")])
+
+
+def _dealt(docs: DataFrame, shingle: int, similarity: float, order, bits: int) -> DataFrame:
+    """(bucket, late, part) of the prefixes of all sets: blocks of rows by the top bits of the shingle, 16 bytes a row.
+
+    A counted shingle may be in a share of all sets, so its rows are dealt by a hash of the set as well.
+    """
+
+    def run(batches):
+        held, size = {False: [], True: []}, 0
+
+        def send():
+            for late, own in held.items():
+                if not own:
+                    continue
+                token, rows = (np.concatenate(x) for x in zip(*own))
+                at = np.argsort(token, kind="stable")
+                token, rows = token[at], rows[at]
+                bucket = token >> np.uint64(64 - bits)
+                heads = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(token) else np.zeros(0, np.int64)
+                rest = token >> np.uint64(24 - bits) & np.uint64((1 << 40) - 1)
+                parts = [packed5(rest[i:j]) + rows[i:j].tobytes() for i, j in zip(heads.tolist(), np.append(heads[1:], len(token)).tolist())]
+                yield pa.record_batch([pa.array(bucket[heads].astype(np.int64)), pa.array(np.full(len(heads), late)), pa.array(parts, pa.binary())], ["bucket", "late", "part"])
+
+        for _, _, g, edges, nodes, use in _sets(batches, shingle):
+            n = np.diff(edges)
+            g, n, nodes = g[np.repeat(use, n)], n[use], nodes[use]
+            token, of, place, late = _prefixes(g, np.concatenate([[0], np.cumsum(n)]), *order.value, similarity)
+            rows = np.zeros(len(token), _LATE)
+            rows["node"], rows["token"] = nodes[of], token
+            rows["size"] = np.floor(np.log(n[of]) / math.log(_BASE))
+            rows["place"] = place * _PARTS // n[of]
+            held[False].append((token[~late], rows[~late][list(_ROW.names)].astype(_ROW)))
+            held[True].append((mixed(token ^ mixed(nodes[of] % np.uint64(SALTS) + np.uint64(1)))[late], rows[late]))
+            size += len(token)
+            if size >= HELD:
+                yield from send()
+                held, size = {False: [], True: []}, 0
+        yield from send()
+
+    return docs.mapInArrow(run, "bucket long, late boolean, part binary").repartition("bucket").sortWithinPartitions("bucket", "late")
+
+
+def _met(token: np.ndarray, rows: np.ndarray, similarity: float, large: int, leaders: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows sorted by token, each node once in a group: pairs (a, b) of nodes of small groups and with the leaders of large
+    ones, which are their first; whether each row is of a large group."""
+    heads = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+    m = np.diff(np.append(heads, len(token)))
+    of = np.repeat(np.arange(len(heads)), m)
+    many = m[of] > large
+    x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for d in range(1, min(large, int(m.max(initial=0)))):
+        i = np.flatnonzero((of[d:] == of[:-d]) & ~many[d:])
+        x.append(i)
+        y.append(i + d)
+    own = np.flatnonzero(many)
+    for k in range(leaders):
+        x.append(heads[of[own]] + k)
+        y.append(own)
+    x, y = np.concatenate(x), np.concatenate(y)
+    ok = (x != y) & _possible(rows["size"][x], rows["size"][y], rows["place"][x], rows["place"][y], similarity)
+    a, b = rows["node"][x[ok]], rows["node"][y[ok]]
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+    return pairs[0], pairs[1], many
+
+
+_FOUND = "kind int, a long, b long, token long, size long, place long"
+
+
+def _found(kind: int, a: np.ndarray, b: np.ndarray | None = None, token: np.ndarray | None = None, rows: np.ndarray | None = None) -> pa.RecordBatch:
+    none = pa.nulls(len(a), pa.int64())
+    cols = [none] * 3 if rows is None else [pa.array(token.view(np.int64)), pa.array(rows["size"].astype(np.int64)), pa.array(rows["place"].astype(np.int64))]
+    second = none if b is None else pa.array(b.view(np.int64))
+    return pa.record_batch([pa.array(np.full(len(a), kind, np.int32)), pa.array(a.view(np.int64)), second, *cols], [x.split()[0] for x in _FOUND.split(", ")])
+
+
+def _groups(similarity: float, large: int, leaders: int, bits: int):
+    """For mapInArrow, rows of _dealt(). Kind 0: pairs (a, b). Kind 1: the rows of large groups and of counted shingles. Kind 2:
+    the first rows of what a counted shingle was dealt to, which meet again."""
+
+    def found(bucket, late, parts):
+        kind = _LATE if late else _ROW
+        n = [len(p) // (5 + kind.itemsize) for p in parts]
+        token = np.concatenate([unpacked5(p[: 5 * k], k) for p, k in zip(parts, n)])
+        rows = np.concatenate([np.frombuffer(p, kind, k, 5 * k) for p, k in zip(parts, n)])
+        token = np.uint64(bucket) << np.uint64(64 - bits) | token << np.uint64(24 - bits)
+        own = np.lexsort((rows["node"], token))
+        token, rows = token[own], rows[own]
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (rows["node"][1:] != rows["node"][:-1])  # copies in other tasks
+        token, rows = token[new], rows[new]
+        a, b, many = _met(token, rows, similarity, large, leaders)
+        yield _found(0, a, b)
+        if late:
+            yield _found(1, rows["node"].copy(), None, rows["token"].copy(), rows)
+            first = np.ones(len(token), bool)
+            first[1:] = token[1:] != token[:-1]
+            yield _found(2, rows["node"][first], None, rows["token"][first], rows[first])
+        elif many.any():
+            yield _found(1, rows["node"][many], None, token[many], rows[many])
 
+    def run(batches):
+        of, parts = None, []
+        for b in batches:
+            for bucket, late, part in zip(b.column("bucket").to_pylist(), b.column("late").to_pylist(), b.column("part").to_pylist()):
+                if (bucket, late) != of and parts:
+                    yield from found(*of, parts)
+                    parts = []
+                of = bucket, late
+                parts.append(part)
+        if parts:
+            yield from found(*of, parts)
 
-def _possible(n, m, i, j, similarity: float):
-    """Whether sets of n and m shingles whose first common one is at i and j can have the similarity."""
-    left = np.minimum(n - i, m - j)
-    return (np.minimum(n, m) >= similarity * np.maximum(n, m) - _SLACK) & (left >= similarity / (1 + similarity) * (n + m) - _SLACK)
+    return run
 
 
-def _whole_groups(batches, key: str) -> Iterator[pa.Table]:
-    """Batches sorted by a key as tables that hold each key's rows whole."""
-    rest = None
+def _whole_groups(batches, keys: list[str]) -> Iterator[pa.Table]:
+    """Batches sorted by keys as tables that hold the rows of each key whole."""
+    rest = []
     for b in batches:
-        t = pa.Table.from_batches([*([rest] if rest is not None else []), b]).combine_chunks()
-        if not len(t):
+        if not len(b):
             continue
-        k = t.column(key).to_numpy()
-        cut = int(np.searchsorted(k == k[-1], True)) if k[0] != k[-1] else 0
-        if cut:
-            yield t.slice(0, cut)
-        rest = t.slice(cut).combine_chunks().to_batches()[0]
-    if rest is not None:
-        yield pa.Table.from_batches([rest])
+        cols = [b.column(k).to_numpy() for k in keys]
+        head = int(np.argmax(np.logical_and.reduce([c == c[-1] for c in cols])))
+        if head or (rest and any(rest[-1].column(k)[-1].as_py() != c[0].item() for k, c in zip(keys, cols))):
+            yield pa.Table.from_batches([*rest, b.slice(0, head)]).combine_chunks()
+            rest = []
+        rest.append(b.slice(head))
+    if rest:
+        yield pa.Table.from_batches(rest).combine_chunks()
 
 
-def _candidates(similarity: float, large: int, leaders: int):
-    """For mapInArrow, rows (token, node, size, place) sorted by token and node: the pairs (a, b) of small groups and those with
-    a large group's leaders; the rows of large groups, with b null."""
+def _again(similarity: float, large: int, leaders: int):
+    """For mapInArrow, rows (token, node, size, place) sorted by token and node: the pairs of _met()."""
 
     def run(batches):
-        for t in _whole_groups(batches, "token"):
+        for t in _whole_groups(batches, ["token"]):
             token, node, size, place = (t.column(x).to_numpy() for x in ("token", "node", "size", "place"))
-            new = np.ones(len(token), bool)
-            new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])  # copies in other tasks
-            token, node, size, place = token[new], node[new], size[new], place[new]
-            heads = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-            m = np.diff(np.append(heads, len(token)))
-            many = np.repeat(m, m) > large
-            x, y = [], []
-            for d in range(1, min(large, int(m.max()))):
-                i = np.flatnonzero((token[d:] == token[:-d]) & ~many[d:])
-                x.append(i)
-                y.append(i + d)
-            for h, k in zip(heads[m > large].tolist(), m[m > large].tolist()):
-                x.append(np.repeat(np.arange(h, h + leaders), k))
-                y.append(np.tile(np.arange(h, h + k), leaders))
-            x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (x, y))
-            ok = (x != y) & _possible(size[x], size[y], place[x], place[y], similarity)
-            a, b = np.minimum(node[x[ok]], node[y[ok]]), np.maximum(node[x[ok]], node[y[ok]])
-            pairs = np.unique(np.stack([a, b]), axis=1)
-            none = pa.nulls(len(pairs[0]), pa.int64())
-            names = ["a", "b", "token", "size", "place"]
-            yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1]), none, none, none], names)
-            if many.any():
-                yield pa.record_batch([pa.array(node[many]), pa.nulls(int(many.sum()), pa.int64()), *(pa.array(c[many]) for c in (token, size, place))], names)
+            rows = np.zeros(len(t), _ROW)
+            rows["node"], rows["size"], rows["place"] = node.view(np.uint64), size, place
+            a, b, many = _met(token, rows, similarity, large, leaders)
+            yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
     return run
 
 
 def _unjoined(similarity: float):
-    """For mapInArrow, rows (token, node, size, place, component) sorted by token: the pairs that are in two components."""
+    """For mapInArrow, rows (token, i, j, mine, node, size, place, component) sorted by token, i, j: the pairs of two components; if
+    i and j differ, those of a row of block i and one of block j."""
 
     def run(batches):
-        for t in _whole_groups(batches, "token"):
-            token, node, size, place, of = (t.column(x).to_numpy() for x in ("token", "node", "size", "place", "component"))
-            heads = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        for t in _whole_groups(batches, ["token", "i", "j"]):
+            token, bi, bj, mine, node, size, place, of = (t.column(x).to_numpy() for x in ("token", "i", "j", "mine", "node", "size", "place", "component"))
+            heads = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])]))
             for h, e in zip(heads.tolist(), [*heads[1:].tolist(), len(token)]):
                 if (of[h:e] == of[h]).all():
                     continue
-                for i in range(h, e, 256):
-                    x = np.arange(i, min(i + 256, e))[:, None]
-                    y = np.arange(h, e)[None, :]
-                    p, q = np.nonzero((x < y) & (of[x] != of[y]) & _possible(size[x], size[y], place[x], place[y], similarity))
+                left = h + np.flatnonzero(mine[h:e] == bi[h]) if bi[h] != bj[h] else np.arange(h, e)
+                right = h + np.flatnonzero(mine[h:e] == bj[h]) if bi[h] != bj[h] else left
+                for i in range(0, len(left), 256):
+                    x, y = left[i : i + 256][:, None], right[None, :]
+                    p, q = np.nonzero((of[x] != of[y]) & (node[x] < node[y]) & _possible(size[x], size[y], place[x], place[y], similarity))
+                    if bi[h] != bj[h]:
+                        r, s = np.nonzero((of[x] != of[y]) & (node[x] > node[y]) & _possible(size[x], size[y], place[x], place[y], similarity))
+                        p, q = np.concatenate([p, r]), np.concatenate([q, s])
                     if len(p):
-                        a, b = node[i + p], node[h + q]
+                        a, b = node[x[p, 0]], node[y[0, q]]
                         yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     return run
 
 
 def _alike(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those of the written pairs (a, b) of nodes whose sets have the similarity."""
-    ids = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    few = ids.count() * 8 <= BROADCAST_BYTES
-    known = docs.sparkSession.sparkContext.broadcast(np.sort(ids.toArrow().column("node").to_numpy()) if few else None)
+    """Those of the written pairs (a, b) of nodes whose sets have the similarity.
 
-    def wanted(batches):
-        for _, _, g, edges, nodes, use in _sets(batches, shingle):
-            own = nodes.view(np.int64)
-            if known.value is not None:
-                use = use & np.isin(own, known.value)
-            rows = np.flatnonzero(use).tolist()
-            raw = [g[edges[k] : edges[k + 1]].tobytes() for k in rows]
-            yield pa.record_batch([pa.array(own[rows]), pa.array(raw, pa.binary())], ["node", "set"])
+    The text of each b goes to the task of its a, HUB at most, that of a once to each of these. Where it goes is broadcast while
+    that has at most BROADCAST_BYTES, else joined.
+    """
+    share = F.ceil(F.col("n") / HUB).cast("int")
+    hubs = pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", share.alias("n"))
+    members = pairs.join(hubs, "a").select(F.col("b").alias("node"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), "n").cast("int").alias("part"), F.lit(1).alias("role"))
+    whole = hubs.select(F.col("a").alias("node"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"), F.lit(0).alias("role"))
+    sent = written(whole.union(members), "jaccard-sent")
+    few = sent.count() * 24 <= BROADCAST_BYTES
+    known = None
+    if few:
+        t = sent.toArrow()
+        order = np.argsort(t.column("node").to_numpy(), kind="stable")
+        known = docs.sparkSession.sparkContext.broadcast([t.column(x).to_numpy()[order] for x in ("node", "hub", "part", "role")])
+
+    def texts(batches):
+        codec = pa.Codec("zstd", 1)
+        for i, b, _, _, nodes, use in _sets(batches, shingle):
+            own, rows = nodes.view(np.int64), np.flatnonzero(use)
+            at = [None] * 3
+            if known is not None:
+                first, last = (np.searchsorted(known.value[0], own[rows], side) for side in ("left", "right"))
+                rows, first, n = rows[last > first], first[last > first], (last - first)[last > first]
+                place = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                at = [pa.array(x[place]) for x in known.value[1:]]
+            text = b.column("text")
+            raw = [text[i + k].as_py() or "" for k in rows.tolist()]
+            raw = [x.encode() for x in raw]
+            body, size = pa.array([codec.compress(x, asbytes=True) for x in raw], pa.binary()), pa.array([len(x) for x in raw], pa.int64())
+            if known is not None:
+                again = pa.array(np.repeat(np.arange(len(rows)), n))
+                yield pa.record_batch([pa.array(own[rows]).take(again), size.take(again), body.take(again), *at], ["node", "bytes", "body", "hub", "part", "role"])
+            else:
+                yield pa.record_batch([pa.array(own[rows]), size, body], ["node", "bytes", "body"])
 
     def decide(batches):
+        codec = pa.Codec("zstd", 1)
+        of, hub, last = None, None, None
         for b in batches:
-            keep = []
-            for x, y in zip(b.column("x"), b.column("y")):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(common >= similarity * (len(x) + len(y) - common) - _SLACK)
-            yield pa.record_batch([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    sets = docs.mapInArrow(wanted, "node long, set binary").groupBy("node").agg(F.first("set").alias("set"))
-    sets = written(sets if few else sets.join(ids, "node", "left_semi"), "jaccard-sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    return written(both.select("a", "b", "x", "y").mapInArrow(decide, "a long, b long"), "jaccard-links")
-
-
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, counted: int = COUNTED, large: int = LARGE, leaders: int = LEADERS) -> DataFrame:
+            role, node, size = b.column("role").to_numpy(), b.column("node").to_numpy(), b.column("bytes").to_numpy()
+            key = list(zip(b.column("hub").to_pylist(), b.column("part").to_pylist()))
+            at, out = 0, []
+            while at < len(b):
+                to = at + max(1, int(np.searchsorted(np.cumsum(size[at:]), 1 << 20, "right")))
+                raw = [codec.decompress(x.as_buffer(), decompressed_size=n, asbytes=True) if n else b"" for n, x in zip(size[at:to].tolist(), b.column("body")[at:to])]
+                offs = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+                g, edges = shingle_sets(np.frombuffer(b"".join([*raw, bytes(8)]), np.uint8), offs, shingle)
+                for k in range(at, min(to, len(b))):
+                    own = g[edges[k - at] : edges[k - at + 1]]
+                    if role[k] == 0:
+                        of, hub, last = key[k], own, None
+                    elif of == key[k] and node[k] != last:  # else a copy in another task
+                        last = node[k]
+                        found = np.minimum(np.searchsorted(hub, own), max(0, len(hub) - 1))
+                        common = int((hub[found] == own).sum()) if len(hub) else 0
+                        if common >= similarity * (len(own) + len(hub) - common) - _SLACK:
+                            out.append((key[k][0], int(node[k])))
+                at = to
+            a, c = zip(*out) if out else ((), ())
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
+
+    if few:
+        dealt = docs.mapInArrow(texts, "node long, bytes long, body binary, hub long, part int, role int")
+    else:
+        kept = docs.mapInArrow(texts, "node long, bytes long, body binary").groupBy("node").agg(F.first("bytes").alias("bytes"), F.first("body").alias("body"))
+        dealt = kept.join(sent, "node")
+    dealt = dealt.repartition("hub", "part").sortWithinPartitions("hub", "part", "role", "node").select("node", "bytes", "body", "hub", "part", "role")
+    return written(dealt.mapInArrow(decide, "a long, b long"), "jaccard-links")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, counted: int = COUNTED, large: int = LARGE, leaders: int = LEADERS, block: int = BLOCK) -> DataFrame:
     """doc_id and component_id (the smallest doc_id reachable by links) of every row of docs (doc_id, text).
 
     Texts link if the sets of their shingles have the Jaccard similarity or more, those without words with each other. Equal
-    sets are one node. A row without doc_id gets the component of rows with its set, null if none has an id.
+    sets are one node. A row without doc_id gets the component of rows with its set, null if none has an id. An empty table
+    gives no rows; other columns are ignored; rows that repeat a doc_id get a component each by their texts.
     """
     if not 0 < similarity <= 1 or leaders > large:
         raise ValueError("a similarity is above 0 and at most 1, and leaders are no more than a large group")
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    bits = min(24, (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length())
 
     def named(batches):
-        for i, b, _, _, nodes, _ in _sets(batches, shingle, once=False):
-            yield pa.record_batch([b.column("doc_id").slice(i, len(nodes)), pa.array(nodes.view(np.int64))], ["doc_id", "node"])
+        for i, b, g, edges, nodes, _ in _sets(batches, shingle, once=False):
+            n = np.diff(edges)
+            yield pa.record_batch([b.column("doc_id").slice(i, len(nodes)), pa.array(nodes.view(np.int64)), pa.array(majority(g, n).view(np.int64)), pa.array(n)], ["doc_id", "node", "fp", "shingles"])
+
+    found = written(docs.mapInArrow(named, "doc_id long, node long, fp long, shingles long"), "jaccard-nodes")
+    nodes = written(found.groupBy("node").agg(F.first("fp").alias("fp"), F.first("shingles").alias("shingles"), F.min("doc_id").alias("first")), "jaccard-nodes")
+    close = links(nodes, similarity=similarity).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
-    found = written(docs.mapInArrow(named, "doc_id long, node long"), "jaccard-nodes")
     share = max(1, found.count() // counted)
 
     def sample(batches):
-        for _, _, g, edges, nodes, use in _sets(batches, shingle):
-            yield pa.record_batch([pa.array(g[np.repeat(use & (nodes % np.uint64(share) == 0), np.diff(edges))].view(np.int64))], ["token"])
+        for _, _, g, _, _, _ in _sets(batches, shingle):
+            yield pa.record_batch([pa.array(g.view(np.int64))], ["token"])
 
-    times = docs.mapInArrow(sample, "token long").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN).toArrow()
+    some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("order")), F.lit(share)) == 0)
+    times = some.mapInArrow(sample, "token long").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN).toArrow()
     often = times.column("token").to_numpy().view(np.uint64)
     order = np.argsort(often)
-    order = docs.sparkSession.sparkContext.broadcast((often[order], times.column("n").to_numpy()[order]))
-
-    def deal(batches):
-        for _, _, g, edges, nodes, use in _sets(batches, shingle):
-            n = np.diff(edges)
-            g, n, nodes = g[np.repeat(use, n)], n[use], nodes[use].view(np.int64)
-            token, of, place = _prefixes(g, np.concatenate([[0], np.cumsum(n)]), *order.value, similarity)
-            yield pa.record_batch([pa.array(token.view(np.int64)), pa.array(nodes[of]), pa.array(n[of].astype(np.int32)), pa.array(place.astype(np.int32))], ["token", "node", "size", "place"])
-
-    dealt = docs.mapInArrow(deal, "token long, node long, size int, place int").repartition("token").sortWithinPartitions("token", "node")
-    dealt = dealt.withColumn("size", F.col("size").cast("long")).withColumn("place", F.col("place").cast("long"))
-    met = written(dealt.mapInArrow(_candidates(similarity, large, leaders), "a long, b long, token long, size long, place long"), "jaccard-met")
-    links = _alike(docs, written(met.where("b is not null").select("a", "b").distinct(), "jaccard-pairs"), shingle, similarity)
-    grouped = written(components(links), "jaccard-groups")
-    rest = met.where("b is null").select("token", F.col("a").alias("node"), "size", "place")
-    if not rest.isEmpty():
-        rest = rest.join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        rest = rest.select("token", "node", "size", "place", "component").repartition("token").sortWithinPartitions("token")
+    order = spark.sparkContext.broadcast((often[order], times.column("n").to_numpy()[order]))
+
+    met = written(_dealt(docs, shingle, similarity, order, bits).mapInArrow(_groups(similarity, large, leaders, bits), _FOUND), "jaccard-met")
+    again = met.where("kind = 2").select("token", F.col("a").alias("node"), "size", "place").repartition("token").sortWithinPartitions("token", "node")
+    pairs = met.where("kind = 0").select("a", "b").union(again.mapInArrow(_again(similarity, large, leaders), "a long, b long")).union(close)
+    joined = _alike(docs, written(pairs.distinct(), "jaccard-pairs"), shingle, similarity)
+    grouped = written(components(joined), "jaccard-groups")
+    rest = met.where("kind = 1").select("token", F.col("a").alias("node"), "size", "place").distinct()
+    rest = written(rest.join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node")), "jaccard-rest")
+    open_ = written(rest.groupBy("token").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token", F.ceil(F.col("n") / block).cast("int").alias("n")), "jaccard-open")
+    if not open_.isEmpty():
+        rest = rest.join(open_, "token").withColumn("mine", F.pmod(F.xxhash64("node"), "n").cast("int"))
+        each = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda o: F.struct(F.least(o, "mine").alias("i"), F.greatest(o, "mine").alias("j")))
+        rest = rest.withColumn("pair", F.explode(each)).select("token", "pair.i", "pair.j", "mine", "node", "size", "place", "component")
+        rest = rest.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
         pairs = written(rest.mapInArrow(_unjoined(similarity), "a long, b long").distinct(), "jaccard-pairs")
         if not pairs.isEmpty():
-            grouped = components(links.union(_alike(docs, pairs, shingle, similarity)))
-    nodes = found.groupBy("node").agg(F.min("doc_id").alias("first")).join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    nodes = written(nodes, "jaccard-components")
+            grouped = written(components(joined.union(_alike(docs, pairs, shingle, similarity))), "jaccard-groups")
+    nodes = written(nodes.select("node", "first").join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node")), "jaccard-components")
     least = nodes.groupBy("component").agg(F.min("first").alias("component_id"))
     known = written(nodes.join(least, "component").select("node", "component_id"), "jaccard-components")
-    return found.join(known, "node", "left").select("doc_id", "component_id")
+    return found.select("doc_id", "node").join(known, "node", "left").select("doc_id", "component_id")

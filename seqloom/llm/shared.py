@@ -7,7 +7,7 @@ import pyarrow as pa
 
 from seqloom.storage import folder, written
 
-__all__ = ["BROADCAST_BYTES", "chunks", "folder", "mixed", "text_buffer", "word_hashes", "words", "written"]
+__all__ = ["BROADCAST_BYTES", "chunks", "folder", "mixed", "packed5", "text_buffer", "unpacked5", "word_hashes", "words", "written"]
 
 #: Most bytes that an operator sends to the driver or broadcasts; each operator checks its own against it.
 BROADCAST_BYTES = 64 << 20
@@ -90,3 +90,15 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
             idx = idx[left > 8]
         done += 8
     return h
+
+
+def packed5(x: np.ndarray) -> bytes:
+    """The lower five bytes of each."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def unpacked5(raw: bytes, n: int) -> np.ndarray:
+    """The n numbers of packed5()."""
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(n, 5)
+    return out.view(np.uint64).ravel()

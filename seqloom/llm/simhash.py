@@ -3,13 +3,13 @@
 Fingerprints are cut into a ring of SEGMENTS segments. If two differ in `most` bits or fewer, then from some segment on the
 differences of the first l segments stay within l/SEGMENTS of `most`, for every l. With 4 bits and 5 segments that is 0 bits
 in the first segment, 1 in two, 2 in three and so on. So fingerprints meet under the first two segments of each chain, one
-of them with a bit of the second segment changed; of what met, the full distance decides. linked() tests whole chains too; it
-gives the same pairs, and the queries don't call it.
+of them with a bit of the second segment changed. Of what met under a chain, linked() keeps what stays within the chain's
+budgets segment by segment; the last budget is the whole ring's, so what is left has the full distance checked too.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -107,17 +107,23 @@ def fingerprints_of(buf: np.ndarray, offs: np.ndarray, shingle: int, seed: int =
     first = np.repeat(heads[:-1] - base, count) + np.arange(count.sum())
     last = np.minimum(first + shingle, np.repeat(heads[1:], count))
     h = hashes(joined, edge[first], edge[last] - 1, seed)
+    return majority(h, count), count
+
+
+def majority(h: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The fingerprint of each run of `count` hashes: a bit is set if more than half of them have it; 0 for none."""
+    base = np.cumsum(count) - count
     # sums of each bit: groups of 255 rows in bytes, then the groups of a text
     groups = -(-count // 255)
     of = np.repeat(base - 255 * (np.cumsum(groups) - groups), groups) + 255 * np.arange(groups.sum())
-    out = np.zeros(len(n), np.uint64)
+    out = np.zeros(len(count), np.uint64)
     if len(h):
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        bits = np.unpackbits(np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         part = np.add.reduceat(bits, of, axis=0, dtype=np.uint8)
         some = np.flatnonzero(count)
         total = np.add.reduceat(part, (np.cumsum(groups) - groups)[some], axis=0, dtype=np.int64)
         out[some] = np.packbits(2 * total > count[some, None], axis=1, bitorder="little").view(np.uint64).ravel()
-    return out, count
+    return out
 
 
 def fingerprints(docs: DataFrame, shingle: int = 5, seed: int = 42) -> DataFrame:
@@ -151,7 +157,7 @@ def _chain_keys(fp: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray,
         (a, n), (b, m) = parts[i], parts[(i + 1) % segments]
         lead = fp >> np.uint64(a) & np.uint64((1 << n) - 1)
         follow = fp >> np.uint64(b) & np.uint64((1 << m) - 1)
-        key = np.uint64(i) << np.uint64(n + m) | lead << np.uint64(m) | follow
+        key = np.uint64(i << 32) | lead << np.uint64(16) | follow
         keys.append(key)
         rows.append(everyone)
         own.append(np.ones(len(fp), bool))
@@ -163,65 +169,79 @@ def _chain_keys(fp: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray,
     return np.concatenate(keys), np.concatenate(rows), np.concatenate(own)
 
 
-def linked(a: np.ndarray, b: np.ndarray, most: int = MOST_BITS, segments: int = SEGMENTS) -> np.ndarray:
-    """a x b: whether the fingerprints differ in at most `most` bits. Chains are tried first, where most pairs fall."""
-    x = a[:, None] ^ b[None, :]
-    parts = [np.bitwise_count(x >> np.uint64(s) & np.uint64((1 << n) - 1)) for s, n in ring(segments)]
-    chain = np.zeros(x.shape, bool)
-    for i in range(segments):
-        ok, total = np.ones(x.shape, bool), np.zeros(x.shape, np.uint8)
+def linked(a: np.ndarray, b: np.ndarray, most: int = MOST_BITS, segments: int = SEGMENTS, chains: Iterable[int] | None = None) -> np.ndarray:
+    """a x b: whether some chain (of those from the segments `chains`; None: from any) stays within all its budgets.
+
+    The budget of l segments is l * most // segments, so that of the whole ring is `most`: the full distance.
+    """
+    x, parts = a[:, None] ^ b[None, :], ring(segments)
+    out = np.zeros(x.shape, bool)
+    for chain in range(segments) if chains is None else chains:
+        mask, left = 0, None
         for length in range(1, segments + 1):
-            total = total + parts[(i + length - 1) % segments]
-            ok &= total <= length * most // segments
-            if not ok.any():
+            shift, bits = parts[(chain + length - 1) % segments]
+            mask |= (1 << bits) - 1 << shift
+            if left is None and length < min(2, segments):
+                continue  # two segments at once: most pairs go there
+            if left is None:
+                left = np.nonzero(np.bitwise_count(x & np.uint64(mask)) <= min(length * most // segments, most))
+                if length == 2:
+                    first = np.uint64((1 << parts[chain][1]) - 1 << parts[chain][0])
+                    keep = np.bitwise_count(x[left] & first) <= most // segments
+                    left = left[0][keep], left[1][keep]
+            else:
+                keep = np.bitwise_count(x[left] & np.uint64(mask)) <= length * most // segments
+                left = left[0][keep], left[1][keep]
+            if not len(left[0]):
                 break
-        chain |= ok
-    return chain & (np.bitwise_count(x) <= most)
+        out[left] = True
+    return out
 
 
-def alike(a: np.ndarray, b: np.ndarray, m: np.ndarray, n: np.ndarray, most: int, similarity: float | None) -> np.ndarray:
-    """a x b: whether fingerprints of texts with m and n shingles link: at most `most` bits, and sizes that allow the similarity.
+def alike(a: np.ndarray, b: np.ndarray, m: np.ndarray, n: np.ndarray, most: int, similarity: float | None, segments: int = SEGMENTS, chains: Iterable[int] | None = None) -> np.ndarray:
+    """a x b: whether fingerprints of texts with m and n shingles link: linked(), and sizes that allow the similarity.
 
     Sets of m < n shingles are alike to m / n at most, different ones of n shingles to (n - 1) / (n + 1). So short texts,
     whose fingerprints say little, link if they are equal, and none links to an empty one.
     """
-    bits = np.bitwise_count(a[:, None] ^ b[None, :])
-    ok = bits <= most
-    if similarity is not None:
+    ok = linked(a, b, most, segments, chains)
+    if similarity is not None and ok.any():
         low, high = np.minimum(m[:, None], n[None, :]), np.maximum(m[:, None], n[None, :])
         ok &= low >= similarity * high
-        ok &= (bits == 0) | (low < high) | (low - 1 >= similarity * (low + 1))
+        ok &= (a[:, None] == b[None, :]) | (low < high) | (low - 1 >= similarity * (low + 1))
     return ok
 
 
-def forest(fp: np.ndarray, node: np.ndarray, most: int = MOST_BITS, shingles: np.ndarray | None = None, similarity: float | None = None) -> list[tuple[int, int]]:
-    """(node, smallest node of its component) for each component of the links among these fingerprints.
+def forest(fp: np.ndarray, node: np.ndarray, most: int = MOST_BITS, shingles: np.ndarray | None = None, similarity: float | None = None, segments: int = SEGMENTS, chains: Iterable[int] | None = None) -> list[tuple[int, int]]:
+    """Links (node, one found before it) that span the components of all links among these fingerprints.
 
-    Breadth first: each fingerprint is compared with those that no component has yet, a block at a time.
+    Breadth first from the smallest node: each fingerprint is compared with those that no component has yet, a block at a time.
     """
     order = np.argsort(node, kind="stable")
     fp, node = fp[order], node[order]
     n = np.zeros(len(fp), np.int64) if shingles is None else shingles[order]
     left, out = np.arange(len(fp)), []
     while len(left):
-        root, front, left = node[left[0]], left[:1], left[1:]
+        front, left = left[:1], left[1:]
         while len(front) and len(left):
             block, front = front[:64], front[64:]
-            hit = np.zeros(len(left), bool)
+            parent = np.full(len(left), -1)
             for i in range(0, len(left), 8192):
                 part = left[i : i + 8192]
-                hit[i : i + 8192] = alike(fp[block], fp[part], n[block], n[part], most, similarity).any(axis=0)
+                ok = alike(fp[block], fp[part], n[block], n[part], most, similarity, segments, chains)
+                parent[i : i + 8192] = np.where(ok.any(axis=0), block[ok.argmax(axis=0)], -1)
+            hit = parent >= 0
             if hit.any():
-                found, left = left[hit], left[~hit]
-                out += [(x, root) for x in node[found].tolist() if x != root]
-                front = np.concatenate([front, found])
+                out += [(x, y) for x, y in zip(node[left[hit]].tolist(), node[parent[hit]].tolist()) if x != y]
+                front, left = np.concatenate([front, left[hit]]), left[~hit]
     return out
 
 
 def links(nodes: DataFrame, most: int = MOST_BITS, segments: int = SEGMENTS, block: int = BLOCK, similarity: float | None = None) -> DataFrame:
-    """Links (a, b), b < a, that join exactly the nodes (node, fp, shingles) that are alike() into components.
+    """Links (a, b) of nodes (node, fp, shingles) that are alike(); they join exactly what all such links would join.
 
-    A bucket gives a spanning forest, not all its pairs. Buckets over `block` are dealt as pairs of blocks.
+    A bucket, that of one chain's first two segments, gives a spanning forest, not all its pairs. Buckets over `block` are dealt as
+    pairs of blocks.
     """
     if 2 * most // segments > 1 or most // segments > 0:
         raise ValueError("chains of two segments need 2 * most < 2 * segments and most < segments")
@@ -234,8 +254,10 @@ def links(nodes: DataFrame, most: int = MOST_BITS, segments: int = SEGMENTS, blo
                 yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(own), pa.array(fp[i + row].view(np.int64)), pa.array(node[i + row]), pa.array(n[i + row])], ["key", "own", "fp", "node", "shingles"])
 
     dealt = nodes.select("fp", "node", "shingles").mapInArrow(deal, "key long, own boolean, fp long, node long, shingles long")
-    own = nodes.select("fp").mapInArrow(_own_keys(segments), "key long")
-    large = written(own.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block), "simhash-large")
+    # a bucket with over `block` rows, own or borrowed from buckets a bit away, has or borrows block / 14 of some one bucket's
+    own = nodes.select("fp").mapInArrow(_own_keys(segments), "key long").groupBy("key").agg(F.count("*").alias("n"))
+    heavy = own.where(F.col("n") > block // 14).mapInArrow(_lent(segments), "key long, n long")
+    large = written(heavy.groupBy("key").agg((F.sum("n") + block).alias("n")), "simhash-large")
     dealt = dealt.withColumn("i", F.lit(0)).withColumn("j", F.lit(0))
     if not large.isEmpty():
         blocks = F.ceil(2 * F.col("n") / block).cast("int")
@@ -255,10 +277,10 @@ def links(nodes: DataFrame, most: int = MOST_BITS, segments: int = SEGMENTS, blo
                 new[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
             heads = np.flatnonzero(new)
             cut = int(heads[-1]) if len(heads) else 0  # the last group may go on
-            yield from _forests(t.slice(0, cut), heads[:-1], most, similarity)
+            yield from _forests(t.slice(0, cut), heads[:-1], most, similarity, segments)
             rest = t.slice(cut).combine_chunks().to_batches()[0] if cut < len(t) else None
         if rest is not None:
-            yield from _forests(pa.Table.from_batches([rest]), np.zeros(1, np.int64), most, similarity)
+            yield from _forests(pa.Table.from_batches([rest]), np.zeros(1, np.int64), most, similarity, segments)
 
     return dealt.mapInArrow(join, "a long, b long").distinct()
 
@@ -272,7 +294,25 @@ def _own_keys(segments: int):
     return run
 
 
-def _forests(t: pa.Table, heads: np.ndarray, most: int, similarity: float | None) -> Iterator[pa.RecordBatch]:
+def _lent(segments: int):
+    """For mapInArrow, rows (key, n): the same, and n for each bucket that borrows from this one."""
+    parts = ring(segments)
+
+    def run(batches):
+        for b in batches:
+            key, n = b.column("key").to_numpy(), b.column("n").to_numpy()
+            keys, counts = [key], [n]
+            for j in range(max(m for _, m in parts)):
+                wide = np.array([parts[(i + 1) % segments][1] for i in range(segments)])[key >> 32]
+                clear = (j < wide) & (key >> j & 1 == 0)
+                keys.append(key[clear] | 1 << j)
+                counts.append(n[clear])
+            yield pa.record_batch([pa.array(np.concatenate(keys)), pa.array(np.concatenate(counts))], ["key", "n"])
+
+    return run
+
+
+def _forests(t: pa.Table, heads: np.ndarray, most: int, similarity: float | None, segments: int) -> Iterator[pa.RecordBatch]:
     if not len(t):
         return
     own, fp, node, n = (t.column(x).to_numpy() for x in ("own", "fp", "node", "shingles"))
@@ -280,7 +320,7 @@ def _forests(t: pa.Table, heads: np.ndarray, most: int, similarity: float | None
     worth = np.flatnonzero((ends - heads > 1) & np.logical_or.reduceat(own, heads))
     for i, j in zip(heads[worth].tolist(), ends[worth].tolist()):
         _, once = np.unique(node[i:j], return_index=True)
-        out += forest(fp[i:j][once], node[i:j][once], most, n[i:j][once], similarity)
+        out += forest(fp[i:j][once], node[i:j][once], most, n[i:j][once], similarity, segments, [int(t.column("key")[i].as_py()) >> 32])
     a, b = zip(*out) if out else ((), ())
     yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -331,8 +371,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, most: int = MOST_BITS, se
     return found.join(known, ["fp", "shingles"], "left").select("doc_id", "fp", "component_id")
 
 
-
-
 def hexadecimal(fp: Column) -> Column:
     """A signed long as 16 lower-case hexadecimal digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from seqloom.llm.shared import chunks, mixed, text_buffer, word_hashes, words, written
+from seqloom.llm.shared import chunks, mixed, packed5, text_buffer, unpacked5, word_hashes, words, written
 
 WINDOW, GRAM = 13, 5
 #: A key in more documents than this is dealt window by window.
@@ -281,17 +281,6 @@ def _judge_shard(rows: list[tuple[int, int, bytes]], window: int) -> Iterator[tu
         yield doc, sid, held if any(held) else b""
 
 
-def _packed5(x: np.ndarray) -> bytes:
-    """The lower five bytes of each."""
-    return x.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-
-
-def _unpacked5(raw: bytes, n: int) -> np.ndarray:
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(n, 5)
-    return out.view(np.uint64).ravel()
-
-
 def _summed(key: np.ndarray, low: np.ndarray, high: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
     """(key, least hash, greatest hash, sum of n) of each key, ascending."""
     order = np.argsort(key, kind="stable")
@@ -324,7 +313,7 @@ def _marks(ids: DataFrame, window: int, most_bits: int, frequent: int) -> Marks:
             heads = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
             ends = np.append(heads[1:], len(key)).tolist()
             rest = key >> np.uint64(24 - bits) & lower
-            parts = [_packed5(rest[i:j]) + _packed5(low[i:j]) + code[i:j].tobytes() for i, j in zip(heads.tolist(), ends)]
+            parts = [packed5(rest[i:j]) + packed5(low[i:j]) + code[i:j].tobytes() for i, j in zip(heads.tolist(), ends)]
             return pa.record_batch([pa.array(bucket[heads].astype(np.int64)), pa.array(parts, pa.binary())], ["bucket", "part"])
 
         for b in batches:
@@ -347,8 +336,8 @@ def _marks(ids: DataFrame, window: int, most_bits: int, frequent: int) -> Marks:
 
         def kinds():
             n = [len(x) // 11 for x in parts]
-            key = np.concatenate([_unpacked5(x[: 5 * m], m) for x, m in zip(parts, n)])
-            h = np.concatenate([_unpacked5(x[5 * m : 10 * m], m) for x, m in zip(parts, n)])
+            key = np.concatenate([unpacked5(x[: 5 * m], m) for x, m in zip(parts, n)])
+            h = np.concatenate([unpacked5(x[5 * m : 10 * m], m) for x, m in zip(parts, n)])
             code = np.concatenate([np.frombuffer(x, np.uint8)[10 * m :] for x, m in zip(parts, n)]).astype(np.int64)
             unlike = code >= 128
             key, low, high, n = _summed(key, np.where(unlike, np.uint64(0), h), np.where(unlike, lower, h), code & 127)
