@@ -3,13 +3,15 @@
 Two passes. The first tokenises each document once and writes ids, the partition and the tokens before the document in
 that partition. The totals of the partitions (one row each) give every partition its global offset by a prefix sum on the
 driver. The second pass needs no shuffle: a document's global offset is its partition's plus its own, and the cuts fall at
-the multiples of the sequence length, so a piece at the border of two partitions is known from the offsets alone.
+the multiples of the sequence length. A boundary record (partition, global offset, the sequence that is open there and the
+tokens it already has) is all that a partition needs to know of the ones before it; boundaries() gives these records.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 
 import numpy as np
@@ -23,18 +25,22 @@ from seqloom.llm.shared import written
 #: The pattern that splits a text before the merges of byte-level BPE (a fixed value of that public vocabulary).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Longer runs of blanks or of other characters go to the library: the rank encoder's pattern can't take a million of them.
+LONGEST_RUN = 50_000
+
 TOKENS = "doc_id long, part int, prefix long, doc_tokens long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+_RUNS = re.compile(r"\s+|\S+")
 _LOADED: dict[str, BpeTokenizer] = {}
 
 
 class BpeTokenizer:
     """Byte-level BPE by a tokenizer file of the `tokenizers` library: the same ids, by the ranks that its vocabulary implies.
 
-    Plain texts go through the rank encoder, which is several times faster; a text that holds a special token's string
-    goes through the `tokenizers` library itself.
+    Plain texts go through the rank encoder, which is several times faster; a text that holds a special token's string or a
+    run of over LONGEST_RUN characters without a change between blanks and others goes through the `tokenizers` library itself.
     """
 
     def __init__(self, path: str):
@@ -57,7 +63,7 @@ class BpeTokenizer:
 
     def ids(self, text: str) -> bytes:
         """Ids as bytes of little-endian 32-bit integers."""
-        if any(x in text for x in self.special):
+        if any(x in text for x in self.special) or (len(text) > LONGEST_RUN and any(m.end() - m.start() > LONGEST_RUN for m in _RUNS.finditer(text))):
             if self.library is None:
                 os.environ["TOKENIZERS_PARALLELISM"] = "false"
                 from tokenizers import Tokenizer
@@ -85,6 +91,16 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFram
     return written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, TOKENS), "tokens")
 
 
+def boundaries(tokens: DataFrame, length: int = 2048) -> list[tuple[int, int, int, int]]:
+    """(partition, global offset, open sequence, tokens that it already has) of each partition of tokenized(): a row for each
+    on the driver, by prefix sums of their totals."""
+    out, at = [], 0
+    for r in sorted(tokens.groupBy("part").agg(F.sum("doc_tokens").alias("n")).collect()):
+        out.append((r.part, at, at // length, at % length))
+        at += r.n
+    return out
+
+
 def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int = 1) -> DataFrame:
     """Packs every document into sequences of at most `length` tokens; one row for each piece of a document.
 
@@ -95,11 +111,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int =
     table gives no rows. The order is that of partitions and rows as read, fixed by the written token table.
     """
     tokens = tokenized(docs, tokenizer_path, end_id)
-    totals = sorted((r.part, r.n) for r in tokens.groupBy("part").agg(F.sum("doc_tokens").alias("n")).collect())  # a row for each partition
-    base, at = {}, 0
-    for part, n in totals:
-        base[part], at = at, at + n
-    shared = docs.sparkSession.sparkContext.broadcast(base)
+    shared = docs.sparkSession.sparkContext.broadcast({part: at for part, at, _, _ in boundaries(tokens, length)})
 
     def run(batches):
         base = shared.value
