@@ -1,37 +1,55 @@
 """Exact top-k by inner product over a bit-sliced index.
 
-Vectors of integers are kept in blocks. A block holds each attribute's upper bits as bitmaps over its rows, a bitmap for
-each bit. A query's weighted sum of attributes is made by bitmap arithmetic alone: the slices of attribute d go in at every
+Vectors of integers are kept in blocks. A block, a row of the written index, holds each attribute's upper bits as bitmaps over its
+rows, a bitmap for each bit. A query's weighted sum of attributes is made by bitmap arithmetic alone: the slices of attribute d go in at every
 set bit of the query's weight, slices of one weight are added three to two (full adders over whole bitmaps). The k best rows
 are then found from the most significant slice of the sum downward. The bits that were left out give a bound on the error,
-and the rows within that bound of the k-th best are resolved by the whole integers.
+and the rows within that bound of the k-th best are resolved by the whole integers. Blocks of queries meet blocks of the
+index pair by pair, each pair a row of one distributed join, whose tasks return k rows a query at most.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.shared import folder, written
+from seqloom.llm.shared import written
 
-BLOCK, KEPT_BITS, QUERIES = 8192, 7, 4096
+BLOCK, KEPT_BITS, QUERIES = 8192, 7, 256
+#: Pairs of blocks in one Arrow batch: a pair takes some two megabytes.
+PAIRS_AT_ONCE = 8
 
 
 def quantised(embedding: pa.Array, scale: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """(rows that take part, their components floor(scale * x) as long); shorter vectors end in zeros."""
+    """(rows that take part, their components floor(scale * x) as long); shorter vectors, also empty ones, end in zeros.
+
+    A component of 2**62 or more raises OverflowError: scores of it would not be longs.
+    """
     rows = [None if v is None or None in v else np.asarray(v, np.float64) for v in embedding.to_pylist()]
     keep = [i for i, v in enumerate(rows) if v is not None and np.isfinite(v).all()]
     wide = max((len(rows[i]) for i in keep), default=0)
     out = np.zeros((len(keep), wide), np.int64)
     for at, i in enumerate(keep):
-        out[at, : len(rows[i])] = np.floor(scale * rows[i])
+        v = np.floor(scale * rows[i])
+        if len(v) and np.abs(v).max() >= 2.0**62:
+            raise OverflowError(f"a component of {np.abs(rows[i]).max()} is too large for integers of 64 bits")
+        out[at, : len(v)] = v
     return np.array(keep, np.int64), out
 
 
+def scores(values: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products of rows of integers with q, as longs; OverflowError if one is none."""
+    if values.size and float(np.abs(q).astype(np.float64).sum()) * float(np.abs(values).max()) >= 2.0**62:
+        exact = values.astype(object) @ q.astype(object)
+        if any(not -(1 << 63) <= x < 1 << 63 for x in exact):
+            raise OverflowError("an inner product is too large for an integer of 64 bits")
+        return exact.astype(np.int64)
+    return values.astype(np.int64) @ q
+
+
 def added(columns: dict[int, list[np.ndarray]]) -> list[np.ndarray]:
     """The sum of bitmap numbers as slices from the least significant: columns[w] holds bitmaps (rows of arrays) of weight 2**w."""
     out, w = [], 0
@@ -64,7 +82,7 @@ class Block:
         self.ids, self.values, self.n = ids, values, len(ids)
         self.low = values.min(axis=0)
         u = values - self.low
-        width = max(1, int(u.max()).bit_length())
+        width = max(1, int(u.max(initial=0)).bit_length())
         self.kept = min(kept, width)
         self.shift = width - self.kept
         u >>= self.shift
@@ -77,6 +95,25 @@ class Block:
         rows[: self.n] = True
         self.rows = np.packbits(rows, bitorder="little").view(np.uint64)
 
+    def stored(self) -> dict:
+        """The index row of the block."""
+        small = next(t for t in (np.int16, np.int32, np.int64) if not self.values.size or (np.iinfo(t).min <= self.values.min() and self.values.max() <= np.iinfo(t).max))
+        return {"ids": self.ids.tobytes(), "low": self.low.tobytes(), "kept": self.kept, "shift": self.shift, "slices": self.slices.tobytes(), "vectors": self.values.astype(small).tobytes(), "width": np.dtype(small).itemsize}
+
+    @staticmethod
+    def of(row: dict) -> Block:
+        """The block of an index row, without slicing again."""
+        b = Block.__new__(Block)
+        b.ids, b.low, b.kept, b.shift = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["low"], np.int64), row["kept"], row["shift"]
+        b.n = len(b.ids)
+        words = -(-b.n // 64)
+        b.slices = np.frombuffer(row["slices"], np.uint64).reshape(len(b.low), b.kept, words)
+        b.values = np.frombuffer(row["vectors"], f"<i{row['width']}").reshape(b.n, len(b.low))
+        rows = np.zeros(64 * words, bool)
+        rows[: b.n] = True
+        b.rows = np.packbits(rows, bitorder="little").view(np.uint64)
+        return b
+
     def _marked(self, bitmap: np.ndarray) -> np.ndarray:
         return np.flatnonzero(np.unpackbits(bitmap.view(np.uint8), bitorder="little")[: self.n])
 
@@ -110,7 +147,7 @@ class Block:
                 else:
                     above, tied = more, tied & ~total[w]
             # what was left out adds or takes at most this much, in units of the stored bits
-            slack = int(weight.sum()) * ((1 << self.shift) - 1)
+            slack = sum(weight.tolist()) * ((1 << self.shift) - 1)
             least = max(0, floor - (slack >> self.shift) - (slack & ((1 << self.shift) - 1) > 0))
             greater, equal = np.zeros_like(alive), alive
             for w in range(max(len(total), least.bit_length()) - 1, -1, -1):
@@ -121,23 +158,25 @@ class Block:
                     greater, equal = greater | equal & s, equal & ~s
             alive = greater | equal
         rows = self._marked(alive)
-        score = self.values[rows][:, :dims] @ q
+        score = scores(self.values[rows][:, :dims], q)
         order = np.lexsort((self.ids[rows], -score))[:k]
         return self.ids[rows][order], score[order]
 
 
-def build_index(vectors: DataFrame, scale: int = 256, block: int = BLOCK) -> DataFrame:
-    """The written index: blocks of up to `block` vectors (vec_id, embedding), their ids and integers; each task slices its own."""
+def _blocks(rows: DataFrame, scale: int, block: int, row, schema: str, tag: str) -> tuple[DataFrame, int]:
+    """(a written table with a row for each `block` vectors, made by row(ids, values), and its number from 0; how many there are)."""
 
     def run(batches):
-        ids, values = [], []
+        ids, values, part, n = [], [], TaskContext.get().partitionId(), 0
 
         def flush(last):
+            nonlocal n
             while sum(map(len, ids)) >= (1 if last else block):
                 wide = max(v.shape[1] for v in values)
                 i, v = np.concatenate(ids), np.concatenate([np.pad(v, ((0, 0), (0, wide - v.shape[1]))) for v in values])
                 ids[:], values[:] = [i[block:]], [v[block:]]
-                yield pa.record_batch([pa.array([i[:block].tobytes()], pa.binary()), pa.array([v[:block].tobytes()], pa.binary()), pa.array([wide], pa.int32())], ["ids", "vectors", "dims"])
+                yield pa.RecordBatch.from_pylist([{"part": part, "at": n, **row(i[:block], v[:block])}], layout)
+                n += 1
 
         for b in batches:
             keep, v = quantised(b.column("embedding"), scale)
@@ -147,22 +186,22 @@ def build_index(vectors: DataFrame, scale: int = 256, block: int = BLOCK) -> Dat
         if ids:
             yield from flush(True)
 
-    rows = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
-    return written(rows.mapInArrow(run, "ids binary, vectors binary, dims int"), "bitsliced")
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    schema = f"part int, at int, {schema}"
+    layout = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in schema.split(", ")])
+    table = written(rows.mapInArrow(run, schema), tag)
+    first, at = [], 0
+    for r in sorted(table.groupBy("part").agg(F.count("*").alias("n")).collect()):  # a row for each partition
+        first.append((r.part, at))
+        at += r.n
+    bases = table.sparkSession.createDataFrame(first, "part int, first int")
+    return table.join(F.broadcast(bases), "part").withColumn("number", F.col("first") + F.col("at")).drop("part", "at", "first"), at
 
 
-def _query_chunks(queries: DataFrame, scale: int, most: int) -> Iterator[list[tuple[int, np.ndarray]]]:
-    chunk: list = []
-    rows = queries.where("vec_id is not null").select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
-    for r in rows.toLocalIterator():
-        keep, v = quantised(pa.array([r.embedding], pa.list_(pa.float64())), scale)
-        if len(keep):
-            chunk.append((r.vec_id, v[0]))
-        if len(chunk) == most:
-            yield chunk
-            chunk = []
-    if chunk:
-        yield chunk
+def build_index(vectors: DataFrame, scale: int = 256, block: int = BLOCK, kept: int = KEPT_BITS) -> tuple[DataFrame, int]:
+    """The written index and its number of blocks: up to `block` vectors (vec_id, embedding) each, as slices, ids and integers."""
+    rows = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
+    return _blocks(rows, scale, block, lambda i, v: Block(i, v, kept).stored(), "ids binary, low binary, kept int, shift int, slices binary, vectors binary, width int", "bitsliced")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, block: int = BLOCK, kept: int = KEPT_BITS, at_once: int = QUERIES) -> DataFrame:
@@ -170,25 +209,35 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
 
     vectors and queries: vec_id and embedding, other columns are ignored. Scores are inner products of floor(scale * x);
     ties go to the smaller vec_id; a query's own id is no candidate. Vectors that are null or hold a null or non-finite
-    component take no part, nor do rows without vec_id. A shorter vector ends in zeros. A repeated id is a candidate each
-    time, and one query. Queries go to the blocks at_once at a time, so what is broadcast has a bound; each round is written.
+    component take no part, nor do rows without vec_id. A shorter vector ends in zeros, an empty one is all zeros. A repeated
+    id is a candidate each time, and one query, by its least vector. What is no long raises OverflowError. Blocks of at_once
+    queries meet each block of the index in one job.
     """
     spark = vectors.sparkSession
-    index, path = build_index(vectors, scale, block), folder(spark, "topk")
+    index, n = build_index(vectors, scale, block, kept)
+    once = queries.where("vec_id is not null").groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min(F.col("embedding").cast("array<double>")).alias("embedding"))
+    asked, m = _blocks(once, scale, at_once, lambda i, v: {"queries": i.tobytes(), "weights": v.tobytes()}, "queries binary, weights binary", "queries")
     schema = "query_id long, vec_id long, score long"
-    spark.createDataFrame([], schema).write.parquet(path)
-    for chunk in _query_chunks(queries, scale, at_once):
-        shared = spark.sparkContext.broadcast(chunk)
-
-        def run(batches, shared=shared):
-            for b in batches:
-                for ids, raw, dims in zip(*(c.to_pylist() for c in b.columns)):
-                    ids = np.frombuffer(ids, np.int64)
-                    held = Block(ids, np.frombuffer(raw, np.int64).reshape(len(ids), dims), kept)
-                    found = [(np.full(len(i), q), i, s) for q, v in shared.value for i, s in [held.top(q, v, k)]]
-                    yield pa.record_batch([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*found)], ["query_id", "vec_id", "score"])
-
-        index.mapInArrow(run, schema).write.mode("append").parquet(path)
-        shared.unpersist()
+
+    def run(batches):
+        last, held = None, None
+        for b in batches:
+            for row in b.to_pylist():
+                if row["number"] != last:
+                    last, held = row["number"], Block.of(row)
+                ids = np.frombuffer(row["queries"], np.int64)
+                weights = np.frombuffer(row["weights"], np.int64).reshape(len(ids), -1)
+                found = [(np.full(len(i), q), i, s) for q, v in zip(ids.tolist(), weights) for i, s in [held.top(q, v, k)]]
+                yield pa.record_batch([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*found)], ["query_id", "vec_id", "score"])
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, str(PAIRS_AT_ONCE))  # holds for what is written here
+    try:
+        left = index.withColumn("ask", F.explode(F.sequence(F.lit(0), F.lit(max(0, m - 1)))))
+        right = asked.withColumnRenamed("number", "ask").withColumn("number", F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1)))))
+        found = written(left.join(right, ["number", "ask"]).mapInArrow(run, schema), "topk")
+    finally:
+        spark.conf.set(name, was)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return spark.read.schema(schema).parquet(path).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
