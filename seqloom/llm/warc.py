@@ -1,7 +1,8 @@
 """WARC archives by Spark's own writers, and a capture index merged out of sorted runs.
 
 write_archives() writes uncompressed WARC/1.1 files as text whose line separator is CR LF: a record's last empty line. So
-any file system that Spark knows will do, and lost tasks leave nothing behind. read_archives() parses whole files.
+any file system that Spark knows will do, and lost tasks leave nothing behind. Records are written by classes of size, so
+that no file is over FILE_BYTES but by a single record. read_archives() parses whole files.
 merged_index() takes the sorted run of each archive, deals ranges of (URL key, time) to tasks and merges the runs of a
 range with a loser tree, so the result is globally ordered by partition and row.
 """
@@ -10,15 +11,21 @@ from __future__ import annotations
 
 import gzip
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.shared import folder, written
+from seqloom.llm.shared import BROADCAST_BYTES, folder, written
 
 CRLF = "\r\n"
+#: The most bytes of a file, and the payloads of a class of sizes: each has as many records a file as surely fit.
+FILE_BYTES, CLASSES = 64 << 20, (14 << 10, 1 << 20)
+#: Bytes that a record's headers take at most without its URL.
+HEADERS = 2048
 ENTRIES = "run string, url_key string, capture_ts string, url string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_offset long, record_bytes long"
 _NAMES = [x.split()[0] for x in ENTRIES.split(", ")]
 _SCHEMA = pa.schema([(n, pa.int64() if k == "long" else pa.string()) for n, k in (x.split() for x in ENTRIES.split(", "))])
@@ -34,8 +41,14 @@ def with_revisits(pages: DataFrame, least: int = 100) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
     digest = F.sha2(F.col("payload").cast("binary"), 256)
     first = rows.select("page_id", digest.alias("payload_digest"), F.octet_length("payload").alias("n")).where(F.col("n") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1 and _first is not null").drop("_n")
-    rows = rows.withColumn("payload_digest", digest).withColumn("payload_bytes", F.octet_length("payload").cast("long")).join(first, "payload_digest", "left")
-    refers = F.when(F.col("_first").isNotNull() & ~F.col("_first").eqNullSafe(F.col("page_id")), F.col("_first"))
+    first = written(first, "copied")  # payloads that have copies, by their digests alone
+    rows = rows.withColumn("payload_digest", digest).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
+    if first.count() * 200 <= BROADCAST_BYTES:
+        rows = rows.join(F.broadcast(first), "payload_digest", "left")
+    else:  # short payloads, which may all be equal, take no part in the shuffle
+        short = rows.where(F.col("payload_bytes") < least).withColumn("_first", F.lit(None).cast("long"))
+        rows = rows.where(F.col("payload_bytes") >= least).join(first, "payload_digest", "left").unionByName(short)
+    refers = F.when((F.col("payload_bytes") >= least) & F.col("_first").isNotNull() & ~F.col("_first").eqNullSafe(F.col("page_id")), F.col("_first"))
     return rows.withColumn("refers_to", refers).withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit")).drop("_first")
 
 
@@ -44,9 +57,12 @@ def _record_id(page: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-"), F.substring(h, 13, 4), F.lit("-"), F.substring(h, 17, 4), F.lit("-"), F.substring(h, 21, 12), F.lit(">"))
 
 
-def write_archives(rows: DataFrame, path: str, per_file: int = 4000, compression: str = "none") -> None:
+def write_archives(rows: DataFrame, path: str, compression: str = "none", file_bytes: int = FILE_BYTES, classes: Sequence[int] = CLASSES) -> None:
     """Writes a WARC record for each row of with_revisits(). gzip packs a file as a whole; offsets are those of the unpacked file.
 
+    A pass for each class of sizes that has records; classes: the most bytes of payload and URL of each but the last, whose files
+    have one record each.
+
     A revisit (identical-payload-digest profile) holds the HTTP header alone; its Content-Length is that of the payload.
     The capture time is 2024-01-01 and page_id seconds; a page without an id gets the first second.
     """
@@ -57,7 +73,15 @@ def write_archives(rows: DataFrame, path: str, per_file: int = 4000, compression
     target = F.when(F.col("url").isNotNull(), F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace("url", r"[\x00-\x20\x7F]+", "%20"), F.lit(CRLF))).otherwise("")
     page = F.when(F.col("page_id").isNotNull(), F.concat(F.lit("X-Page: "), F.col("page_id").cast("string"), F.lit(CRLF))).otherwise("")
     head = F.concat(F.lit(f"WARC/1.1{CRLF}WARC-Type: "), F.col("record_type"), F.lit(f"{CRLF}WARC-Record-ID: "), _record_id(F.col("page_id")), F.lit(f"{CRLF}WARC-Date: "), ts, F.lit(CRLF), target, page, refers, F.lit("WARC-Payload-Digest: sha256:"), F.col("payload_digest"), F.lit(f"{CRLF}Content-Type: application/http; msgtype=response{CRLF}Content-Length: "), F.octet_length("block").cast("string"), F.lit(CRLF + CRLF))
-    rows.withColumn("block", block).select(F.concat(head, F.col("block"), F.lit(CRLF)).alias("value")).write.option("lineSep", CRLF).option("maxRecordsPerFile", per_file).option("compression", compression).text(path)
+    size = F.octet_length("payload") + F.coalesce(F.octet_length("url"), F.lit(0))
+    largest = rows.agg(F.max(size)).first()[0] or 0  # a folder is written for no rows too
+    lower = -1
+    for upper in [*classes, None]:
+        if largest > lower:
+            own = rows.where(size > lower) if upper is None else rows.where((size > lower) & (size <= upper))
+            per_file = 1 if upper is None else max(1, file_bytes // (upper + HEADERS))
+            own.withColumn("block", block).select(F.concat(head, F.col("block"), F.lit(CRLF)).alias("value")).write.mode("append").option("lineSep", CRLF).option("maxRecordsPerFile", per_file).option("compression", compression).text(path)
+        lower = upper
 
 
 def records(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
@@ -111,11 +135,11 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 class LoserTree:
-    """Merges k sorted lists: an inner node keeps the loser of its match, so the next winner takes log2(k) comparisons."""
+    """Merges k sorted iterables: an inner node keeps the loser of its match, so the next winner takes log2(k) comparisons."""
 
-    def __init__(self, runs: list[list]):
-        self.runs, self.at, k = runs, [0] * len(runs), len(runs)
-        self.keys = [r[0] if r else None for r in runs]
+    def __init__(self, runs: Sequence[Iterable]):
+        self.runs, k = [iter(r) for r in runs], len(runs)
+        self.keys = [next(r, None) for r in self.runs]
         self.tree = [-1] * max(1, k)
         for leaf in range(k - 1, -1, -1):
             self._play(leaf)
@@ -144,9 +168,7 @@ class LoserTree:
             return
         while (key := self.keys[w := self.tree[0]]) is not None:
             yield key
-            self.at[w] += 1
-            run = self.runs[w]
-            self.keys[w] = run[self.at[w]] if self.at[w] < len(run) else None
+            self.keys[w] = next(self.runs[w], None)
             self._play(w)
 
 
@@ -154,18 +176,25 @@ def merged_index(entries: DataFrame) -> DataFrame:
     """The entries of sorted runs as one global order of URL key, capture time and page.
 
     Ranges of that order are dealt to tasks (a hot URL's history spans several), each gets a slice of every run, and the
-    slices are merged by a loser tree. Rows are in order within a partition, partitions follow each other.
+    slices are merged by a loser tree. A task holds its range as Arrow columns; only the keys at the heads of the slices are
+    Python objects, and rows go out 5000 at a time. Rows are in order within a partition, partitions follow each other.
     """
 
     def run(batches):
-        slices: dict[str, list[tuple]] = {}
-        for b in batches:
-            cols = [c.to_pylist() for c in b.columns]
-            for r in zip(*cols):
-                slices.setdefault(r[0], []).append((r[1], r[2], -1 if r[4] is None else r[4], r[0], r[9], r))
-        rows = [x[5] for x in LoserTree(list(slices.values()))]
-        for i in range(0, len(rows), 5000):
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + 5000]), _SCHEMA)], schema=_SCHEMA)
+        t = pa.Table.from_batches(list(batches), _SCHEMA).combine_chunks()
+        runs = t.column("run").to_numpy()
+        edges = [0, *(np.flatnonzero(runs[1:] != runs[:-1]) + 1).tolist(), len(t)] if len(t) else [0]
+
+        def slice_(a, b):
+            for i in range(a, b, 1000):
+                part = t.slice(i, min(1000, b - i))
+                cols = (part.column(c).to_pylist() for c in ("url_key", "capture_ts", "page_id", "run", "record_offset"))
+                for k, (url, ts, page, own, at) in enumerate(zip(*cols)):
+                    yield url, ts, -1 if page is None else page, own, at, i + k
+
+        merged = (x[5] for x in LoserTree([slice_(a, b) for a, b in zip(edges, edges[1:])]))
+        while rows := list(islice(merged, 5000)):
+            yield from t.take(pa.array(rows)).to_batches()
 
     order = ["url_key", "capture_ts", "page_id", "run", "record_offset"]
     return entries.repartitionByRange(*order).sortWithinPartitions("run", *order[:3], "record_offset").mapInArrow(run, ENTRIES)
