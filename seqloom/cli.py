@@ -27,7 +27,8 @@ def _parser() -> argparse.ArgumentParser:
             p.add_argument("-i", "--input", default=None, help="file; standard input without it")
             p.add_argument("-f", "--format", default=None)
         if output:
-            p.add_argument("-o", "--output", default=None)
+            p.add_argument("-o", "--output", default=None, help="file; a folder of files if it ends in /; standard output without it")
+            p.add_argument("--gzip", action="store_true", help="a folder's files are packed")
             p.add_argument("-w", "--width", type=int, default=60)
         return p
 
@@ -120,6 +121,7 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("-l", "--level", type=int, default=6)
     p.add_argument("--delete", action="store_true")
     p.add_argument("-f", "--force", action="store_true")
+    p.add_argument("-t", "--threads", type=int, default=1, help="accepted; one file is packed by one thread")
     return top
 
 
@@ -128,23 +130,30 @@ def _say(text: str) -> None:
 
 
 def _run(a: argparse.Namespace, spark: SparkSession) -> None:
-    def spooled() -> str:
-        with tempfile.NamedTemporaryFile("wb", suffix=f".{'fq' if detect_format(None, a.format) == 'fastq' else 'fa'}", delete=False) as f:
-            shutil.copyfileobj(sys.stdin.buffer, f)
-        return f.name
-
     if a.command == "merge":
-        paths = a.inputs
+        _command(a, spark, a.inputs)
+    elif a.input:
+        _command(a, spark, [a.input])
     else:
-        paths = [a.input or spooled()]
+        with tempfile.TemporaryDirectory() as folder:  # standard input, while the command runs
+            path = f"{folder}/stdin.{'fq' if detect_format(None, a.format) == 'fastq' else 'fa'}"
+            with open(path, "wb") as f:
+                shutil.copyfileobj(sys.stdin.buffer, f)
+            _command(a, spark, [path])
+
+
+def _command(a: argparse.Namespace, spark: SparkSession, paths: list[str]) -> None:
     fmt = detect_format(paths[0], getattr(a, "from_", None) or a.format)
     df = readers.read_sequences(spark, paths, fmt)
 
     def ids() -> DataFrame | None:
         return readers.read_ids(spark, a.id_file, a.id) if a.id or a.id_file else None
 
-    def put(out: DataFrame, to: str = fmt) -> None:
-        _say(f"{writers.write_file(out, a.output, to, a.width)} records written")
+    def put(out: DataFrame, to: str = fmt, ordered: bool = False) -> None:
+        if a.output and a.output.endswith("/"):  # a folder: written by the tasks
+            writers.write_sequences(out, a.output, to, a.width, "gzip" if a.gzip else "none", not ordered)
+        else:
+            _say(f"{writers.write_file(out, a.output, to, a.width, ordered)} records written")
 
     match a.command:
         case "stats":
@@ -170,9 +179,9 @@ def _run(a: argparse.Namespace, spark: SparkSession) -> None:
             put(transform.modify_records(df, a.reverse_complement, a.upper, a.lower, a.remove_gaps, a.slice_))
         case "sample":
             put(ordering.sample_count(df, a.count, a.seed) if a.count is not None else ordering.sample_fraction(df, a.fraction, a.seed))
+            _say(f"of {df.count()} records read")
         case "sort":
-            ranked = ordering.ranked_records(df, a.by, a.desc)
-            put(ranked.withColumn("ord", ranked["rank"]).withColumn("file_ord", ranked["rank"] * 0))
+            put(ordering.sort_records(df, a.by, a.desc), ordered=True)
         case "dedup":
             put(ordering.dedup_records(df, a.by_id, a.prefix, a.ignore_case))
         case "merge":

@@ -30,8 +30,9 @@ def is_nucleotide(seq: Column | str) -> Column:
 
 
 def count_bases(seq: Column | str, bases: str) -> Column:
-    """How many of the bases, in either case, as long."""
-    return F.regexp_count(_col(seq), F.lit(f"[{bases.upper()}{bases.lower()}]")).cast("long")
+    """How many of the bases, in either case, as long: the letters that go when they are taken out."""
+    seq = _col(seq)
+    return (F.length(seq) - F.length(F.translate(seq, bases.upper() + bases.lower(), ""))).cast("long")
 
 
 def gc_content(seq: Column | str) -> Column:

@@ -29,14 +29,19 @@ COMMANDS = (
     Command("dedup", "The first record of each key", (_INPUT, _OUTPUT, ("--by-id", "the id is the key"), ("--prefix", "so many letters are the key"), ("-I, --ignore-case", "case doesn't count")), ("seqloom dedup -i reads.fa --prefix 50",)),
     Command("merge", "Files one after the other", (("inputs", "files"), _OUTPUT, ("-a, --add-prefix", "file names before the ids"), ("--sep", "what stands between, : by default")), ("seqloom merge a.fa b.fa -o all.fa",)),
     Command("split", "Parts, chunks or a file for each record", (_INPUT, ("-n, --parts", "how many parts"), ("-c, --chunk-size", "records in a chunk"), ("--by-id", "a file for each record"), ("--outdir, --prefix", "where, and how file names start")), ("seqloom split -i reads.fa -n 8 --outdir parts",)),
-    Command("compress", "gzip files and back", (_INPUT, _OUTPUT, ("-d, --decompress", "unpack"), ("-l, --level", "1 to 9"), ("--delete", "the input goes afterwards"), ("-f, --force", "an existing output is replaced")), ("seqloom compress -i reads.fa",)),
+    Command("compress", "gzip files and back", (_INPUT, _OUTPUT, ("-d, --decompress", "unpack"), ("-l, --level", "1 to 9"), ("--delete", "the input goes afterwards"), ("-f, --force", "an existing output is replaced"), ("-t, --threads", "accepted")), ("seqloom compress -i reads.fa",)),
 )
 
 
 def catalog(spark: SparkSession) -> DataFrame:
     """A row for each command."""
-    rows = [(c.name, c.about, [tuple(p) for p in c.parameters], list(c.examples)) for c in COMMANDS]
-    return spark.createDataFrame(rows, "command string, about string, parameters array<struct<param:string,description:string>>, examples array<string>")
+    rows = [(c.name, c.about, described(c), [tuple(p) for p in c.parameters], list(c.examples)) for c in COMMANDS]
+    return spark.createDataFrame(rows, "command string, about string, description string, parameters array<struct<param:string,description:string>>, examples array<string>")
+
+
+def described(c: Command) -> str:
+    """What a command does and takes, in a sentence."""
+    return f"{c.about}. Takes {', '.join(p for p, _ in c.parameters)}."
 
 
 def render(command: str | None = None, form: str = "text") -> str:
@@ -46,6 +51,6 @@ def render(command: str | None = None, form: str = "text") -> str:
         message = f"unknown command: {command}"
         return json.dumps({"error": message}) if form == "json" else message
     if form == "json":
-        return json.dumps([{"command": c.name, "about": c.about, "parameters": [{"param": p, "description": d} for p, d in c.parameters], "examples": list(c.examples)} for c in chosen], indent=2)
+        return json.dumps([{"command": c.name, "about": c.about, "description": described(c), "parameters": [{"param": p, "description": d} for p, d in c.parameters], "examples": list(c.examples)} for c in chosen], indent=2)
     mark = ("## ", "- `{}`: {}", "    {}") if form == "markdown" else ("", "  {}  {}", "  $ {}")
     return "\n".join(x for c in chosen for x in [f"{mark[0]}{c.name}", c.about, *(mark[1].format(p, d) for p, d in c.parameters), *(mark[2].format(e) for e in c.examples), ""])

@@ -15,7 +15,7 @@ from seqloom.schema import HIT
 
 _COMPLEMENT = str.maketrans("ATUGC", "TAACG")
 _NUCLEOTIDE = re.compile(rf"[{S.NUCLEOTIDES}]+")
-#: Bytes of sequences that one pass of the kernel holds.
+#: Bytes of sequences that one pass of the kernel holds; a longer sequence is read in overlapping slices.
 CHUNK = 1 << 20
 
 
@@ -83,14 +83,28 @@ _SCHEMA = pa.schema([("file_ord", pa.int32()), ("ord", pa.int64()), ("id", pa.st
 def _literal_hits(b: pa.RecordBatch, patterns: list[tuple[str, bytes, bool]], mismatches: int) -> Iterator[pa.RecordBatch]:
     """Hits of the records of a batch; a pattern: strand, letters, whether only nucleotide records count."""
     raw, offs = _texts(b.column("seq"))
+    k, letters_ok = len(patterns[0][1]), np.zeros(256, bool)
+    letters_ok[np.frombuffer(S.NUCLEOTIDES.encode(), np.uint8)] = True
+    most = max(1, min(CHUNK, (1 << 30) // k))  # the matched texts of a pass stay under two gigabytes
     first = 0
     while first < len(b):
-        last = max(first + 1, int(np.searchsorted(offs, offs[first] + CHUNK, "right")) - 1)
+        last = max(first + 1, int(np.searchsorted(offs, offs[first] + most, "right")) - 1)
         lo, hi = int(offs[first]), int(offs[last])
+        if hi - lo > most:  # one long sequence: slices overlap by the pattern's length less one
+            whole = not patterns[-1][2] or all(letters_ok[raw[i : min(i + most, hi)]].all() for i in range(lo, hi, most))
+            kept = [p for p in patterns if whole or not p[2]]
+            for i in range(lo, hi, most):
+                at, strands, matched = _slice_hits(raw[i : min(i + most + k - 1, hi)], kept, mismatches, most)
+                begin, index = at + (i - lo), pa.array(np.full(len(at), first))
+                text = pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer((np.arange(len(at) + 1) * k).astype(np.int32).tobytes()), pa.py_buffer(matched.tobytes())])
+                names = pa.array([p[0] for p in kept]).take(pa.array(strands))
+                yield pa.record_batch([b.column("file_ord").take(index), b.column("ord").take(index), b.column("id").take(index), pa.array(begin), pa.array(begin + k), text, names], schema=_SCHEMA)
+            first = last
+            continue
         own, edge = raw[lo:hi], offs[first : last + 1] - lo
         row = np.repeat(np.arange(last - first), np.diff(edge))
         upper, ends = _upper(own), edge[1:][row]
-        allowed = np.isin(own, np.frombuffer(S.NUCLEOTIDES.encode(), np.uint8))
+        allowed = letters_ok[own]
         bad = np.zeros(last - first, np.int64)
         np.add.at(bad, row[~allowed], 1)
         rows, starts, strands = [], [], []
@@ -105,7 +119,6 @@ def _literal_hits(b: pa.RecordBatch, patterns: list[tuple[str, bytes, bool]], mi
         r, at, strand = (np.concatenate(x) for x in (rows, starts, strands))
         order = np.lexsort((at, strand, r))
         r, at, strand = r[order], at[order], strand[order]
-        k = len(patterns[0][1])
         matched = own[at[:, None] + np.arange(k)] if len(at) else np.zeros((0, k), np.uint8)
         begin = at - edge[r]
         index = pa.array(first + r)
@@ -115,12 +128,23 @@ def _literal_hits(b: pa.RecordBatch, patterns: list[tuple[str, bytes, bool]], mi
         first = last
 
 
+def _slice_hits(own: np.ndarray, patterns: list[tuple[str, bytes, bool]], mismatches: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, patterns, texts) of the hits that start in the first `most` letters of a part of one sequence."""
+    upper, ends = _upper(own), np.full(len(own), len(own))
+    found = [_starts(upper, ends, letters, mismatches) for _, letters, _ in patterns]
+    found = [at[at < most] for at in found]
+    at = np.concatenate(found)
+    matched = own[at[:, None] + np.arange(len(patterns[0][1]))] if len(at) else np.zeros((0, len(patterns[0][1])), np.uint8)
+    return at, np.repeat(np.arange(len(found)), [len(x) for x in found]), matched
+
+
 def find_hits(df: DataFrame, pattern: str, mismatches: int = 0, regex: bool = False, ordered: bool = False) -> DataFrame:
     """A row for each hit (schema HIT): start and end are 0-based on the forward strand, matched is the record's own text.
 
     A literal pattern is found in either case, overlaps included, with at most `mismatches` letters changed; if pattern and
     record are nucleotides its reverse complement is found too (strand -, so a palindrome gives both). A regular expression
-    is matched as typed against the upper-cased sequence, leftmost and without overlaps, on the forward strand.
+    is matched as typed against the upper-cased sequence, leftmost and without overlaps, on the forward strand; ValueError
+    for one that Python can't read.
     Records shorter than the pattern have no hits. ordered: input order, + before -, ascending starts.
     """
     if not pattern:
@@ -130,7 +154,10 @@ def find_hits(df: DataFrame, pattern: str, mismatches: int = 0, regex: bool = Fa
     records = df.select("file_ord", F.col("ord").cast("long"), "id", "seq")
     if regex:
         text = S.checked_regex(pattern).replace(r"\z", r"\Z").replace("(?<", "(?P<")
-        re.compile(text)
+        try:
+            re.compile(text)
+        except re.error as e:
+            raise ValueError(f"not a regular expression here: {pattern!r}: {e}") from None
 
         def run(batches):
             compiled = re.compile(text)

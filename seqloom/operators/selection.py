@@ -23,11 +23,16 @@ def require_nucleotides(df: DataFrame, what: str) -> None:
 
     An eager check: in a lazy plan the test could be pruned or short-circuited away.
     """
-    bad = df.where(~S.is_nucleotide("seq")).select("id", *ORDER).orderBy(*ORDER).limit(1).collect()
+    bad = first_non_nucleotide(df).collect()
     if bad:
         raise NotNucleotide(f"{what} needs nucleotide sequences; {bad[0].id!r} is none")
 
 
+def first_non_nucleotide(df: DataFrame) -> DataFrame:
+    """id and order columns of the first record that is no nucleotide sequence; no row if all are."""
+    return df.where(~S.is_nucleotide("seq")).select("id", *ORDER).orderBy(*ORDER).limit(1)
+
+
 def _ids(df: DataFrame, ids: DataFrame | Iterable[str] | None) -> DataFrame | list[str] | None:
     """Ids to select by, None if there are none."""
     if ids is None or isinstance(ids, DataFrame):
@@ -71,17 +76,24 @@ def filter_records(
     """
     if check and (gc_min is not None or gc_max is not None):
         require_nucleotides(df, "a GC filter")
-    columns, conditions = df.columns, []
+    columns = df.columns
+    if isinstance(ids, DataFrame) and not invert:  # a semi join keeps the other conditions under it
+        if not ids.isEmpty():
+            df = df.join(ids.select(F.col(ids.columns[0]).alias("id")).distinct(), "id", "left_semi")
+        ids = None
+    df, whole = _conditions(df, min_len, max_len, gc_min, gc_max, pattern, exclude_pattern, ids, min_qual, invert)
+    return df.where(whole).select(*columns)
+
+
+def _conditions(df: DataFrame, min_len=None, max_len=None, gc_min=None, gc_max=None, pattern=None, exclude_pattern=None, ids=None, min_qual=None, invert: bool = False) -> tuple[DataFrame, Column]:
+    """df, joined with the ids if they are a table, and the condition that filter_records() keeps records by."""
+    conditions = []
     if min_len is not None:
         conditions.append(S.seq_length("seq") >= min_len)
     if max_len is not None:
         conditions.append(S.seq_length("seq") <= max_len)
-    if isinstance(ids, DataFrame) and not invert:  # a semi join keeps the other conditions under it
-        if not ids.isEmpty():
-            df = df.join(ids.select(F.col(ids.columns[0]).alias("id")).distinct(), "id", "left_semi")
-    else:
-        df, member = with_membership(df, ids, "_member")
-        conditions += [member] if member is not None else []
+    df, member = with_membership(df, ids, "_member")
+    conditions += [member] if member is not None else []
     if gc_min is not None:
         conditions.append(S.gc_content("seq") >= gc_min)
     if gc_max is not None:
@@ -95,13 +107,12 @@ def filter_records(
     whole = F.lit(True)
     for c in conditions:
         whole = whole & c
-    if invert:
-        whole = ~F.coalesce(whole, F.lit(False))
-    return df.where(whole).select(*columns)
+    return df, ~F.coalesce(whole, F.lit(False)) if invert else whole
 
 
-def filter_counts(df: DataFrame, **conditions) -> DataFrame:
-    """total and kept records of a filter, as one row of a union's sums."""
-    every = df.select(F.lit(1).alias("total"), F.lit(0).alias("kept"))
-    kept = filter_records(df, **conditions).select(F.lit(0).alias("total"), F.lit(1).alias("kept"))
-    return every.unionAll(kept).agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.coalesce(F.sum("kept"), F.lit(0)).alias("kept"))
+def filter_counts(df: DataFrame, check: bool = True, **conditions) -> DataFrame:
+    """total and kept records of a filter, as one row of one pass. Conditions are those of filter_records()."""
+    if check and not {"gc_min", "gc_max"}.isdisjoint(conditions):
+        require_nucleotides(df, "a GC filter")
+    df, whole = _conditions(df, **conditions)
+    return df.agg(F.count("*").alias("total"), F.count_if(F.coalesce(whole, F.lit(False))).alias("kept"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,9 @@ from seqloom import guide
 from seqloom.functions import sequence as S
 from seqloom.operators import aggregation, extraction, ordering, search, selection, transform
 from seqloom.plans import views as V
+from seqloom.sources import codec, generator, readers, writers
+from seqloom.sources.formats import detect_format
+from seqloom.storage import folder, numbered
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -364,6 +369,194 @@ def split_by_id_names(spark, sf_dir):
     return ordering.split_by_id(V.grouped_reads(spark, sf_dir)).select("ord", "part")
 
 
-@_query("SELECT * FROM (VALUES " + ", ".join(f"('{c.name}', {len(c.parameters)}, {len(c.examples)})" for c in guide.COMMANDS) + ") AS t(command, parameters, examples)")
+@_query("""SELECT * FROM (VALUES
+    ('stats', 4, 1), ('convert', 6, 1), ('filter', 8, 2), ('extract', 6, 1), ('search', 7, 1), ('modify', 6, 1),
+    ('sample', 5, 1), ('sort', 4, 1), ('dedup', 5, 1), ('merge', 4, 1), ('split', 5, 1), ('compress', 7, 1)
+    ) AS t(command, parameters, examples)""")
 def guide_catalog(spark, sf_dir):
     return guide.catalog(spark).select("command", F.size("parameters").alias("parameters"), F.size("examples").alias("examples"))
+
+
+@_query(V.sql("SELECT count(*) AS total, least(count(*), 100) AS sampled FROM reads", "reads"))
+def sample_counts(spark, sf_dir):
+    return ordering.sample_counts(V.reads(spark, sf_dir), count=100)
+
+
+@_query(V.sql("SELECT 0 AS file_ord, count(*) AS records FROM reads UNION ALL SELECT 1, count(*) FROM page_reads", "reads", "page_reads"))
+def merge_counts(spark, sf_dir):
+    return ordering.merge_counts([V.reads(spark, sf_dir), V.page_reads(spark, sf_dir)])
+
+
+# ---- files: written to the shared folder by the tasks, and read back -------------------------------------------------
+
+
+def _file_query(name: str, fmt: str, body: str, views: tuple[str, ...], source, **options) -> None:
+    """What a scan finds in a folder of files that a sink has written."""
+
+    def run(spark, sf_dir):
+        path = folder(spark, name)
+        writers.write_sequences(source(spark, sf_dir), path, fmt, ordered=False, **options)
+        out = readers.read_sequences(spark, path, fmt)
+        return out.select("id", "desc", F.md5(F.col("seq").cast("binary")).alias("seq_md5"), S.seq_length("seq").alias("n"), F.md5(F.col("qual").cast("binary")).alias("qual_md5"))
+
+    run.__name__ = name
+    _query(V.sql(body, *views))(run)
+
+
+_file_query("scan_fasta", "fasta", f'SELECT id, "desc", md5(seq) AS seq_md5{_SIZE}, CAST(NULL AS VARCHAR) AS qual_md5 FROM reads', ("reads",), V.reads)
+_file_query("scan_fastq", "fastq", f'SELECT id, "desc", md5(seq) AS seq_md5{_SIZE}, md5(qual) AS qual_md5 FROM quals WHERE seq <> \'\'', ("reads", "quals"), lambda s, d: _quals(s, d).where("seq <> ''"))
+_file_query("scan_fasta_gzip", "fasta", f'SELECT id, "desc", md5(seq) AS seq_md5{_SIZE}, CAST(NULL AS VARCHAR) AS qual_md5 FROM proteins', ("proteins",), V.proteins, width=100, compression="gzip")
+_file_query("scan_fastq_gzip", "fastq", f'SELECT id, "desc", md5(seq) AS seq_md5{_SIZE}, md5(repeat(\'I\', length(seq))) AS qual_md5 FROM reads WHERE seq <> \'\'', ("reads",), lambda s, d: V.reads(s, d).where("seq <> ''"), compression="gzip")
+
+
+@_query(V.sql('SELECT seq_id, s AS "start", e AS "end", name FROM regions', "regions"))
+def scan_bed(spark, sf_dir):
+    path = folder(spark, "bed")
+    lines = V.regions(spark, sf_dir).select(F.concat_ws("\t", "seq_id", "start", "end", "name").alias("value"))
+    lines.write.text(path)
+    return readers.read_bed(spark, path).select("seq_id", "start", "end", "name")
+
+
+@_query(V.sql("SELECT id FROM id_list", "id_list"))
+def scan_ids(spark, sf_dir):
+    path = folder(spark, "ids")
+    V.id_list(spark, sf_dir).select(F.concat(F.lit("  "), "id", F.lit(" ")).alias("value")).write.text(path)
+    return readers.read_ids(spark, path)
+
+
+@_query(V.sql(f"SELECT {_BRIEF} FROM reads WHERE id IN (SELECT id FROM id_list)", "id_list", "reads"))
+def filter_id_file(spark, sf_dir):
+    path = folder(spark, "ids")
+    V.id_list(spark, sf_dir).write.text(path)
+    return _brief(selection.filter_records(V.reads(spark, sf_dir), ids=readers.read_ids(spark, path)))
+
+
+@_query(V.sql("SELECT 1 AS file_ord, id FROM reads UNION ALL SELECT 0, id FROM page_reads", "reads", "page_reads"))
+def scan_files(spark, sf_dir):
+    paths = []
+    for df in (V.page_reads(spark, sf_dir), V.reads(spark, sf_dir)):
+        paths.append(folder(spark, "file"))
+        writers.write_sequences(df.select("file_ord", "ord", "id", F.lit(None).cast("string").alias("desc"), "seq", "qual").coalesce(1), paths[-1], ordered=False)
+    return readers.read_sequences(spark, paths, "fasta").select("file_ord", "id")
+
+
+@_query("""SELECT * FROM (VALUES ('a.fa', 'fasta'), ('b.FQ', 'fastq'), ('c.fastq.gz', 'fastq'), ('d.fasta.gz', 'fasta'), ('e.txt', 'fasta')) AS t(name, format)""")
+def detect_formats(spark, sf_dir):
+    return spark.createDataFrame([(n, detect_format(n)) for n in ("a.fa", "b.FQ", "c.fastq.gz", "d.fasta.gz", "e.txt")], "name string, format string")
+
+
+# ---- guards, order and reports ---------------------------------------------------------------------------------------
+
+
+def _guard(name: str, run_guarded) -> None:
+    """The id that a guard's error names: that of the first record that is no nucleotide sequence."""
+
+    def run(spark, sf_dir):
+        df = V.proteins(spark, sf_dir)
+        try:
+            run_guarded(df)
+        except selection.NotNucleotide as e:
+            found = selection.first_non_nucleotide(df).select("ord", "id")
+            return found.withColumn("named", F.lit(str(e)).contains(F.concat(F.lit("'"), "id", F.lit("'"))))
+        raise AssertionError("a guard let records pass that are no nucleotides")
+
+    run.__name__ = name
+    _query(V.sql(f"SELECT ord, id, true AS named FROM proteins WHERE NOT {_NUC} ORDER BY ord LIMIT 1", "proteins"))(run)
+
+
+_guard("guard_gc", lambda df: selection.filter_records(df, gc_min=10.0))
+_guard("guard_revcomp", lambda df: transform.modify_records(df, reverse_complement=True))
+_filter("filter_gc_checked", f"seq <> '' AND {_GC} >= 45.0", source=lambda s, d: V.reads(s, d).where("seq <> ''"), gc_min=45.0)
+
+
+@_query(_hit_sql("SELECT row_number() OVER (ORDER BY ord, strand, \"start\") AS place, * FROM hits", "GATTA"))
+def search_ordered(spark, sf_dir):
+    hits = search.find_hits(V.reads(spark, sf_dir), "GATTA")
+    return numbered(hits, ["file_ord", "ord", "strand", "start"], "place").select("place", *_HIT)
+
+
+@_query(_hit_sql("SELECT * FROM hits", "AATTAA"))
+def search_short(spark, sf_dir):
+    """Most of these records are shorter than the pattern."""
+    return search.find_hits(V.reads(spark, sf_dir), "AATTAA").select(*_HIT)
+
+
+@_query(V.sql(f"SELECT row_number() OVER (ORDER BY ord) AS place, {_BRIEF} FROM (SELECT * FROM reads QUALIFY row_number() OVER (PARTITION BY seq ORDER BY ord) = 1)", "reads"))
+def dedup_ordered(spark, sf_dir):
+    kept = numbered(ordering.dedup_records(V.reads(spark, sf_dir)), ["file_ord", "ord"], "place")
+    return _brief(kept, "place")
+
+
+@_query(V.sql("SELECT ord, id FROM reads WHERE false", "reads"))
+def sort_empty(spark, sf_dir):
+    return ordering.sort_records(V.reads(spark, sf_dir).where("false"), "gc").select("ord", "id")
+
+
+@_query(V.sql(
+    """SELECT 'Sequences: ' || count(*) || chr(10) || 'Total length: ' || sum(length(seq)) || chr(10) || 'Min length: ' || min(length(seq)) || chr(10) || 'Max length: ' || max(length(seq)) || chr(10)
+    || 'Mean length: ' || format('{:.2f}', CAST(sum(length(seq)) AS DOUBLE) / count(*)) AS report FROM reads""", "reads"))
+def stats_report(spark, sf_dir):
+    return spark.createDataFrame([(aggregation.report(V.reads(spark, sf_dir)),)], "report string")
+
+
+@_query(V.sql("""SELECT 'No nucleotide sequences: base composition does not apply.' AS last_line FROM proteins WHERE NOT regexp_full_match(seq, '[ACGTUNacgtun.-]+') HAVING count(*) > 0""", "proteins"))
+def stats_report_proteins(spark, sf_dir):
+    letters = V.proteins(spark, sf_dir).where(~S.is_nucleotide("seq"))
+    return spark.createDataFrame([(aggregation.report(letters, gc=True).rpartition("\n")[2],)], "last_line string")
+
+
+@_query("""SELECT * FROM (VALUES ('1:100', 0, 100), ('7:7', 6, 7), (' 3:9 ', 2, 9), ('0:10', NULL, NULL), ('10:1', NULL, NULL), ('5', NULL, NULL)) AS t(text, first, last)""")
+def parse_ranges(spark, sf_dir):
+    def bounds(text: str) -> tuple:
+        try:
+            return text, *S.parse_range(text)
+        except ValueError:
+            return text, None, None
+
+    return spark.createDataFrame([bounds(x) for x in ("1:100", "7:7", " 3:9 ", "0:10", "10:1", "5")], "text string, first int, last int")
+
+
+@_query("""SELECT * FROM (VALUES ('data/a.b.fa', 'a.b'), ('x.fq', 'x'), ('/p/q', 'q'), ('.hid', '.hid')) AS t(path, stem)""")
+def file_stems(spark, sf_dir):
+    df = spark.createDataFrame([("data/a.b.fa",), ("x.fq",), ("/p/q",), (".hid",)], "path string")
+    return df.select("path", S.file_stem("path").alias("stem"))
+
+
+@_query(V.sql("SELECT 0 AS file_ord, ord, id FROM reads UNION ALL SELECT 1, ord, id FROM page_reads", "reads", "page_reads"))
+def merge_prefix_fastq(spark, sf_dir):
+    """FASTQ ids stay as they are."""
+    return ordering.merge_records([V.reads(spark, sf_dir), V.page_reads(spark, sf_dir)], ["docs", "web"], to="fastq").select("file_ord", "ord", "id")
+
+
+@_query(V.sql("SELECT part, count(*) AS files_records, min(ord) AS first, max(ord) AS last FROM (SELECT ord, CAST((row_number() OVER (ORDER BY ord) - 1) // 128 AS INTEGER) + 1 AS part FROM reads) GROUP BY part", "reads"))
+def split_files(spark, sf_dir):
+    """A folder for each part; what a scan of each finds, by part."""
+    path = folder(spark, "split")
+    parts = ordering.split_chunks(V.reads(spark, sf_dir), 128)
+    writers.write_parts(parts, path)
+    lines = spark.read.text(path).where(F.col("value").startswith(">"))
+    number = F.regexp_extract("value", r"^>d(\d+)", 1).cast("long")
+    return lines.groupBy(F.col("part").cast("int").alias("part")).agg(F.count("*").alias("files_records"), F.min(number).alias("first"), F.max(number).alias("last"))
+
+
+@_query("SELECT 'Hello, World!' || chr(10) AS text, true AS overwrite_refused")
+def compress_roundtrip(spark, sf_dir):
+    """gzip of a file of this machine and back; an existing output is refused."""
+    with tempfile.TemporaryDirectory() as place:
+        source = Path(place, "x.txt")
+        source.write_text("Hello, World!\n")
+        packed = codec.compress(str(source))
+        try:
+            codec.compress(str(source))
+            refused = False
+        except FileExistsError:
+            refused = True
+        text = Path(codec.decompress(packed, f"{place}/y.txt")).read_text()
+    return spark.createDataFrame([(text, refused)], "text string, overwrite_refused boolean")
+
+
+@_query("SELECT name, CAST(records AS BIGINT) AS records FROM (VALUES ('random', 500)) AS t(name, records)")
+def random_fasta(spark, sf_dir):
+    path = folder(spark, "random")
+    generator.write_random_fasta(spark, path, 500, seed=7)
+    return readers.read_fasta(spark, path).where(S.is_nucleotide("seq") & (S.seq_length("seq") >= 500)).agg(F.count("*").alias("records")).select(F.lit("random").alias("name"), "records")

@@ -30,17 +30,21 @@ def write_parts(df: DataFrame, path: str, fmt: str = "fasta", width: int = 60) -
     df.repartition("part").sortWithinPartitions("part", *ORDER).select("part", _text(fmt, width).alias("value")).write.partitionBy("part").text(path)
 
 
-def write_file(df: DataFrame, path: str | None, fmt: str = "fasta", width: int = 60) -> int:
-    """Records as one local file, or to standard output: streamed through the driver a partition at a time; their number."""
-    return write_lines(df.select(*ORDER, _text(fmt, width).alias("value")), path)
+def write_file(df: DataFrame, path: str | None, fmt: str = "fasta", width: int = 60, ordered: bool = False) -> int:
+    """Records as one local file, or to standard output: streamed through the driver a partition at a time; their number.
+
+    ordered: the records are in their order already.
+    """
+    return write_lines(df.select(*ORDER, _text(fmt, width).alias("value")), path, () if ordered else ORDER)
 
 
 def write_lines(df: DataFrame, path: str | None, order: tuple[str, ...] = ORDER) -> int:
-    """The column `value` in order, a line each, as one local file or to standard output."""
+    """The column `value` in order (none: as the rows are), a line each, as one local file or to standard output."""
 
     def put(out: IO[str]) -> int:
         n = 0
-        for r in df.orderBy(*order).select("value").toLocalIterator(prefetchPartitions=True):
+        rows = df.orderBy(*order) if order else df
+        for r in rows.select("value").toLocalIterator(prefetchPartitions=True):
             out.write(r.value + "\n")
             n += 1
         return n

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -13,11 +15,14 @@ _OWN: list[str] = []
 
 
 def folder(spark: SparkSession, tag: str) -> str:
-    """A new path under spark.checkpoint.dir; where that is unset (one machine) under a temporary folder."""
+    """A new path under spark.checkpoint.dir; where that is unset, under a temporary folder of this machine: an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not _OWN:
             _OWN.append(tempfile.mkdtemp(prefix="seqloom-"))
+            atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
         base = f"file://{_OWN[0]}"
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 

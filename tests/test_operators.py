@@ -223,3 +223,44 @@ def test_plans(records):
     assert plan.index("WindowGroupLimit") < plan.index("Exchange")
     sample = ordering.sample_fraction(records(("a", "A")), 0.5)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in sample
+
+
+def test_long_sequences_are_searched_in_slices(records, monkeypatch):
+    import random
+
+    r = random.Random(8)
+    seq = "".join(r.choices("ACGT", k=5000))
+    df = records(("long", seq), ("short", "GATTACA"), ("protein", "MKW" + seq))
+    whole = {p: sorted(map(tuple, search.find_hits(df, p, m).collect())) for p, m in (("GAT", 0), ("ACCA", 1), ("A" * 40, 30))}
+    rows = list(df.select("file_ord", "ord", "id", "seq").toArrow().to_batches())
+    monkeypatch.setattr(search, "CHUNK", 64)
+    for p, m in (("GAT", 0), ("ACCA", 1), ("A" * 40, 30)):
+        patterns = [("+", p.encode(), False), ("-", search.reverse_complement(p).encode(), True)]
+        found = [tuple(x.values()) for b in rows for out in search._literal_hits(b, patterns, m) for x in out.to_pylist()]
+        assert sorted(found) == whole[p] and whole[p]
+
+
+def test_counts(records):
+    df = records(*((f"r{i}", "ACGT" * (i + 1)) for i in range(10)))
+    r = selection.filter_counts(df, min_len=20, pattern="ACGTACGT").first()
+    assert (r.total, r.kept) == (10, 6)
+    r = selection.filter_counts(df, ids=["r1", "r2"], invert=True).first()
+    assert (r.total, r.kept) == (10, 8)
+    assert tuple(ordering.sample_counts(df, count=3).first()) == (10, 3) and tuple(ordering.sample_counts(df, count=30).first()) == (10, 10)
+    assert sorted(map(tuple, ordering.merge_counts([df, df.limit(2)]).collect())) == [(0, 10), (1, 2)]
+    with pytest.raises(selection.NotNucleotide):
+        selection.filter_counts(records(("p", "MKW")), gc_min=1.0)
+
+
+def test_sample_takes_the_smallest_draws(records):
+    df = records(*((f"r{i}", "A") for i in range(3000)))
+    for n in (1, 7, 1500, 2999):
+        drawn = df.withColumn("d", ordering._draw(5)).orderBy("d", "file_ord", "ord").limit(n)
+        assert ids(ordering.sample_count(df, n, 5)) == ids(drawn)
+    plan = ordering.sample_count(df, 1500, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "TakeOrdered" not in plan
+
+
+def test_keys_are_projected_once(records):
+    plan = ordering.sort_records(records(("a", "ACGT")), "gc")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("translate(seq") == plan.split("Project")[-1].count("translate(seq") > 0

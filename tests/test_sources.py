@@ -142,3 +142,38 @@ def test_stream(spark, tmp_path):
     for i in range(2):
         landing.run_stream(stream, str(tmp_path / "out"), str(tmp_path / "check"), landing.dedup_stream, once=True).awaitTermination()
         assert sorted(r.seq for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["ACGT", "GG"]
+
+
+@pytest.mark.parametrize("fmt", ["fasta", "fastq"])
+def test_folders_count_as_several_files(spark, tmp_path, fmt):
+    df = spark.range(300).selectExpr("0 AS file_ord", "id AS ord", "concat('r', id) AS id", "concat('d ', id) AS `desc`", "repeat('ACGT', cast(id % 5 + 1 AS int)) AS seq", "repeat('@+IJ', cast(id % 5 + 1 AS int)) AS qual")
+    df = df if fmt == "fastq" else df.withColumn("qual", df.qual.substr(1, 0)).replace("", None, "qual")
+    path = str(tmp_path / "many files")
+    writers.write_sequences(df.repartition(7), path, fmt, ordered=False, compression="gzip" if fmt == "fasta" else "none")
+    found = readers.read_sequences(spark, path, fmt)
+    assert sorted(rows(found)) == sorted(rows(df))
+    assert found.select("file_ord").distinct().count() == 7 and found.select("file_ord", "ord").distinct().count() == 300
+    one = put(tmp_path / "one.fa", ">x\nAC\n")
+    both = readers.read_sequences(spark, [path, one], None if fmt == "fasta" else "fasta") if fmt == "fasta" else None
+    assert both is None or both.orderBy("file_ord", "ord").collect()[-1].id == "x"
+
+
+def test_command_writes_a_folder(spark, tmp_path):
+    source = put(tmp_path / "a.fa", ">b\nACGT\n>a\nGG\n")
+    assert cli.main(["sort", "-i", source, "-o", f"{tmp_path}/out/", "--gzip"], spark) == 0
+    assert [r[0] for r in rows(readers.read_fasta(spark, f"{tmp_path}/out"))] == ["a", "b"]
+
+
+def test_bad_expression_is_an_error(spark, tmp_path, capsys):
+    source = put(tmp_path / "a.fa", ">b\nACGT\n")
+    assert cli.main(["search", r"\p{L}", "-r", "-i", source], spark) == 1 and "regular expression" in capsys.readouterr().err
+
+
+def test_clusters_need_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from seqloom import storage
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://x:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.folder(cluster, "x")
