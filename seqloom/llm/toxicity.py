@@ -9,16 +9,22 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.shared import chunks, text_buffer, word_hashes, words
+from seqloom.llm.shared import chunks, text_buffer, word_hashes, words, written
 
 WINDOW, STRIDE, STATE, PART = 32, 24, 8, 6
 #: Words that a sample's documents hold less often have no vector of their own.
 LEAST_DOCUMENTS, GRAM_BITS = 4, 15
 #: The labelled sample: at most so many documents of each label, those with the smallest hashes of doc_id.
 SAMPLE = {1: 1500, 0: 3000}
+#: The most bytes of the sample's texts: of each label, documents go in by that order until its share of them is full.
+SAMPLE_BYTES = 48 << 20
+#: Windows of a document that train the network in an epoch, its most suspicious ones: of label 0; of label 1 in the first
+#: epoch, and after it, when the network tells which window makes the document toxic. A share of other windows of label 0
+#: comes on top, drawn anew each epoch. Scores take all windows.
+TRAINED_WINDOWS, OTHER_WINDOWS = {0: (2, 2), 1: (2, 1)}, 1 / 3
 
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[i for i in range(33, 127) if not chr(i).isalnum()]] = True
@@ -213,7 +219,7 @@ def train(texts: list[str | None], labels: list[int], share: float, epochs: int
     """A network for the texts' labels. share: that of label 1 among all labelled documents, which the scores keep to.
 
     The vectors' first number starts as the shrunk log odds of the word or gram. Each document trains its most suspicious
-    windows (by those odds first, by the network from the second epoch on), and some random ones.
+    windows (by those odds first, by the network from the second epoch on), TRAINED_WINDOWS of them, and some random ones.
     Training ends after `epochs` rounds and least_steps steps. Texts of one label alone give
     a network that scores 0 or 1 as that label says.
     """
@@ -247,8 +253,9 @@ def train(texts: list[str | None], labels: list[int], share: float, epochs: int
             del vectors, projected
         order = np.lexsort((-rank, text))
         place = np.arange(len(text)) - np.searchsorted(text[order], text[order])
-        chosen = order[place < 2 - (label[text[order]] > 0) * (epoch > 0)]  # of a toxic document the top window alone, once it is known
-        spare = r.permutation(np.flatnonzero(label[text] == 0))[: len(chosen) // 3]
+        most = np.array([TRAINED_WINDOWS[y][epoch > 0] for y in (0, 1)])
+        chosen = order[place < most[(label[text[order]] > 0).astype(int)]]
+        spare = r.permutation(np.flatnonzero(label[text] == 0))[: int(len(chosen) * OTHER_WINDOWS)]
         chosen = r.permutation(np.concatenate([chosen, spare]))
         for i in range(0, len(chosen), 128):
             own = chosen[i : i + 128]
@@ -296,10 +303,11 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE, column: str = "toxic") -> Network:
-    """Trains on labelled rows (doc_id, `column`) that are not held out: at most sample[label] documents of each label.
+def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE, column: str = "toxic", sample_bytes: int = SAMPLE_BYTES) -> Network:
+    """Trains on labelled rows (doc_id, `column`) that are not held out: at most sample[label] documents of each label, and as many
+    as sample_bytes hold. They come by the hashes of their ids, whole.
 
-    Rows with a null id or label teach nothing.
+    Rows with a null id or label teach nothing; an id with several rows teaches its least text alone.
     """
     known = labels.select(F.col("doc_id").cast("long"), F.col(column).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
     counts = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -307,7 +315,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE, col
     for y, most in sorted(sample.items()):
         part = known.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         chosen = part if chosen is None else chosen.union(part)
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").collect()  # sum(sample) documents at most
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
+    rows = written(rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")), "sample")  # sum(sample) documents at most
+    # the running bytes of each label: over as many rows
+    before = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    share = F.element_at(F.create_map(*[F.lit(x) for y, n in sample.items() for x in (y, sample_bytes * n // max(1, sum(sample.values())))]), F.col("label"))
+    rows = rows.withColumn("_bytes", before).where(F.col("_bytes") <= share).drop("_bytes").collect()
     rows.sort(key=lambda r: (r.doc_id, r.text or ""))
     total, texts, known = sum(counts.values()), [r.text for r in rows], [r.label for r in rows]
     del rows
