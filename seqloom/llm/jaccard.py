@@ -7,6 +7,11 @@ shingles or more, so the first n - ceil(t * n) + 1 of one and the like of the ot
 they share, enough shingles must be left in both. So sets meet under the shingles of their prefixes, and no pair of the
 similarity is lost, whatever the order is. It only decides how many meet: shingles that a sample of texts has often
 come last. Each candidate, of either way, is decided by its whole sets.
+
+First each set is compared with one that it met, the least; copies of one text are joined by that. Pairs that are not joined
+then must also pass a second fingerprint, which holds a bit for each class of shingles: whether the set has an odd number of
+them. Each shingle that only one of two sets has flips one bit, so sets that differ in d shingles differ in d bits or fewer:
+no pair of the similarity is lost here either.
 """
 
 from __future__ import annotations
@@ -31,6 +36,8 @@ LARGE, LEADERS = 2, 1
 SALTS, BLOCK = 1024, 2000
 #: Sets that are compared with one set in one task.
 HUB = 256
+#: The most bits of a set's fingerprint of odd classes; it has as many as shingles, rounded up to a power of two.
+MOST_CLASSES = 1 << 16
 #: Prefix rows that a task holds before it sends them on.
 HELD = 1_000_000
 _M1, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x94D049BB133111EB)
@@ -59,6 +66,26 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, shingle: int) -> tuple[np.nd
     return g[new], np.concatenate([[0], np.cumsum(np.bincount(doc[new], minlength=len(n)))])
 
 
+def odd_classes(g: np.ndarray, edges: np.ndarray) -> list[bytes]:
+    """For each set a bit for each class of shingles, those equal in their lower bits: whether it has an odd number of them."""
+    n = np.diff(edges)
+    wide = np.minimum(MOST_CLASSES, 1 << np.maximum(6, np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64)))
+    base = np.cumsum(wide) - wide
+    at = np.repeat(base, n) + (g & np.repeat(wide - 1, n).astype(np.uint64)).astype(np.int64)
+    raw = np.packbits(np.bincount(at, minlength=int(wide.sum())).astype(np.uint8) & 1, bitorder="little").tobytes()
+    return [raw[a : a + m] for a, m in zip((base // 8).tolist(), (wide // 8).tolist())]
+
+
+def _folded(raw: list[bytes], words: int) -> np.ndarray:
+    """Fingerprints of odd classes as rows of `words` 64-bit words: the halves of wider ones are added, bit by bit."""
+    out = np.zeros((len(raw), words), np.uint64)
+    for i, x in enumerate(raw):
+        v = np.frombuffer(x, np.uint64)
+        if len(v) >= words:
+            out[i] = np.bitwise_xor.reduce(v.reshape(-1, words), axis=0)
+    return out
+
+
 def _sets(batches, shingle: int, once: bool = True) -> Iterator[tuple]:
     """(first row, batch, hashes, edges, nodes, rows to use) of chunks of batches (doc_id, text); a node is a hash of a set.
 
@@ -149,7 +176,7 @@ def _dealt(docs: DataFrame, shingle: int, similarity: float, order, bits: int) -
 
 def _met(token: np.ndarray, rows: np.ndarray, similarity: float, large: int, leaders: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of rows sorted by token, each node once in a group: pairs (a, b) of nodes of small groups and with the leaders of large
-    ones, which are their first; whether each row is of a large group."""
+    ones, which are their first; whether each row is of a group of two or more."""
     heads = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
     m = np.diff(np.append(heads, len(token)))
     of = np.repeat(np.arange(len(heads)), m)
@@ -167,7 +194,7 @@ def _met(token: np.ndarray, rows: np.ndarray, similarity: float, large: int, lea
     ok = (x != y) & _possible(rows["size"][x], rows["size"][y], rows["place"][x], rows["place"][y], similarity)
     a, b = rows["node"][x[ok]], rows["node"][y[ok]]
     pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-    return pairs[0], pairs[1], many
+    return pairs[0], pairs[1], m[of] > 1
 
 
 _FOUND = "kind int, a long, b long, token long, size long, place long"
@@ -181,8 +208,8 @@ def _found(kind: int, a: np.ndarray, b: np.ndarray | None = None, token: np.ndar
 
 
 def _groups(similarity: float, large: int, leaders: int, bits: int):
-    """For mapInArrow, rows of _dealt(). Kind 0: pairs (a, b). Kind 1: the rows of large groups and of counted shingles. Kind 2:
-    the first rows of what a counted shingle was dealt to, which meet again."""
+    """For mapInArrow, rows of _dealt(). Kind 0: pairs (a, b). Kind 1: the rows of groups and of counted shingles. Kind 2: the
+    first rows of what a counted shingle was dealt to, which meet again."""
 
     def found(bucket, late, parts):
         kind = _LATE if late else _ROW
@@ -195,15 +222,15 @@ def _groups(similarity: float, large: int, leaders: int, bits: int):
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (rows["node"][1:] != rows["node"][:-1])  # copies in other tasks
         token, rows = token[new], rows[new]
-        a, b, many = _met(token, rows, similarity, large, leaders)
+        a, b, group = _met(token, rows, similarity, large, leaders)
         yield _found(0, a, b)
         if late:
             yield _found(1, rows["node"].copy(), None, rows["token"].copy(), rows)
             first = np.ones(len(token), bool)
             first[1:] = token[1:] != token[:-1]
             yield _found(2, rows["node"][first], None, rows["token"][first], rows[first])
-        elif many.any():
-            yield _found(1, rows["node"][many], None, token[many], rows[many])
+        elif group.any():
+            yield _found(1, rows["node"][group], None, token[group], rows[group])
 
     def run(batches):
         of, parts = None, []
@@ -244,33 +271,44 @@ def _again(similarity: float, large: int, leaders: int):
             token, node, size, place = (t.column(x).to_numpy() for x in ("token", "node", "size", "place"))
             rows = np.zeros(len(t), _ROW)
             rows["node"], rows["size"], rows["place"] = node.view(np.uint64), size, place
-            a, b, many = _met(token, rows, similarity, large, leaders)
+            a, b, _ = _met(token, rows, similarity, large, leaders)
             yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
     return run
 
 
 def _unjoined(similarity: float):
-    """For mapInArrow, rows (token, i, j, mine, node, size, place, component) sorted by token, i, j: the pairs of two components; if
-    i and j differ, those of a row of block i and one of block j."""
+    """For mapInArrow, rows (token, i, j, mine, node, size, place, component, odd) sorted by token, i, j: the pairs of two components
+    that can have the similarity; if i and j differ, those of a row of block i and one of block j."""
 
     def run(batches):
         for t in _whole_groups(batches, ["token", "i", "j"]):
             token, bi, bj, mine, node, size, place, of = (t.column(x).to_numpy() for x in ("token", "i", "j", "mine", "node", "size", "place", "component"))
+            odd = t.column("odd").to_pylist()
+            wide = np.array([len(x) // 8 for x in odd])
+            most = _BASE ** (size + 1.0) * (1 - similarity) / (1 + similarity) * (1 + _SLACK)  # a set's share of the differences allowed
             heads = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])]))
             for h, e in zip(heads.tolist(), [*heads[1:].tolist(), len(token)]):
                 if (of[h:e] == of[h]).all():
                     continue
                 left = h + np.flatnonzero(mine[h:e] == bi[h]) if bi[h] != bj[h] else np.arange(h, e)
                 right = h + np.flatnonzero(mine[h:e] == bj[h]) if bi[h] != bj[h] else left
+                folded = {int(w): _folded(odd[h:e], int(w)) for w in np.unique(wide[h:e])}
                 for i in range(0, len(left), 256):
                     x, y = left[i : i + 256][:, None], right[None, :]
                     p, q = np.nonzero((of[x] != of[y]) & (node[x] < node[y]) & _possible(size[x], size[y], place[x], place[y], similarity))
                     if bi[h] != bj[h]:
                         r, s = np.nonzero((of[x] != of[y]) & (node[x] > node[y]) & _possible(size[x], size[y], place[x], place[y], similarity))
                         p, q = np.concatenate([p, r]), np.concatenate([q, s])
-                    if len(p):
-                        a, b = node[x[p, 0]], node[y[0, q]]
+                    p, q = x[p, 0], y[0, q]
+                    keep = np.zeros(len(p), bool)
+                    for w, rows in folded.items():  # compared at the width of the narrower
+                        own = np.flatnonzero(np.minimum(wide[p], wide[q]) == w)
+                        for k in range(0, len(own), 1 << 15):
+                            some = own[k : k + (1 << 15)]
+                            keep[some] = np.bitwise_count(rows[p[some] - h] ^ rows[q[some] - h]).sum(axis=1, dtype=np.int64) <= most[p[some]] + most[q[some]]
+                    if keep.any():
+                        a, b = node[p[keep]], node[q[keep]]
                         yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     return run
@@ -365,9 +403,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     def named(batches):
         for i, b, g, edges, nodes, _ in _sets(batches, shingle, once=False):
             n = np.diff(edges)
-            yield pa.record_batch([b.column("doc_id").slice(i, len(nodes)), pa.array(nodes.view(np.int64)), pa.array(majority(g, n).view(np.int64)), pa.array(n)], ["doc_id", "node", "fp", "shingles"])
+            odd = pa.array(odd_classes(g, edges), pa.binary())
+            yield pa.record_batch([b.column("doc_id").slice(i, len(nodes)), pa.array(nodes.view(np.int64)), pa.array(majority(g, n).view(np.int64)), pa.array(n), odd], ["doc_id", "node", "fp", "shingles", "odd"])
 
-    found = written(docs.mapInArrow(named, "doc_id long, node long, fp long, shingles long"), "jaccard-nodes")
+    found = written(docs.mapInArrow(named, "doc_id long, node long, fp long, shingles long, odd binary"), "jaccard-nodes")
+    # the columns but the id are the same for a node
     nodes = written(found.groupBy("node").agg(F.first("fp").alias("fp"), F.first("shingles").alias("shingles"), F.min("doc_id").alias("first")), "jaccard-nodes")
     close = links(nodes, similarity=similarity).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
@@ -386,15 +426,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     met = written(_dealt(docs, shingle, similarity, order, bits).mapInArrow(_groups(similarity, large, leaders, bits), _FOUND), "jaccard-met")
     again = met.where("kind = 2").select("token", F.col("a").alias("node"), "size", "place").repartition("token").sortWithinPartitions("token", "node")
     pairs = met.where("kind = 0").select("a", "b").union(again.mapInArrow(_again(similarity, large, leaders), "a long, b long")).union(close)
-    joined = _alike(docs, written(pairs.distinct(), "jaccard-pairs"), shingle, similarity)
+    pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    joined = _alike(docs, written(pairs, "jaccard-pairs"), shingle, similarity)
     grouped = written(components(joined), "jaccard-groups")
-    rest = met.where("kind = 1").select("token", F.col("a").alias("node"), "size", "place").distinct()
-    rest = written(rest.join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node")), "jaccard-rest")
+    known = F.broadcast(grouped) if grouped.count() * 32 <= BROADCAST_BYTES else grouped
+    rest = met.where("kind = 1").select("token", F.col("a").alias("node"), "size", "place")
+    rest = rest.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_ = written(rest.groupBy("token").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token", F.ceil(F.col("n") / block).cast("int").alias("n")), "jaccard-open")
     if not open_.isEmpty():
-        rest = rest.join(open_, "token").withColumn("mine", F.pmod(F.xxhash64("node"), "n").cast("int"))
+        few = open_.count() * 32 <= BROADCAST_BYTES
+        rest = written(rest.join(F.broadcast(open_) if few else open_, "token"), "jaccard-rest")
+        odd = found.join(rest.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("odd").alias("odd"))
+        rest = rest.join(odd, "node").withColumn("mine", F.pmod(F.xxhash64("node"), "n").cast("int"))
         each = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda o: F.struct(F.least(o, "mine").alias("i"), F.greatest(o, "mine").alias("j")))
-        rest = rest.withColumn("pair", F.explode(each)).select("token", "pair.i", "pair.j", "mine", "node", "size", "place", "component")
+        rest = rest.withColumn("pair", F.explode(each)).select("token", "pair.i", "pair.j", "mine", "node", "size", "place", "component", "odd")
         rest = rest.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
         pairs = written(rest.mapInArrow(_unjoined(similarity), "a long, b long").distinct(), "jaccard-pairs")
         if not pairs.isEmpty():
