@@ -5,8 +5,8 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
 
-#: Texts that every operator on documents must take: null, empty, blank, one word, odd letters, and a very long one.
-ODD = [None, "", "  \n\t ", "one", "Ünïcode 😀 words\x0bhere\x0c", "\x00\x01 \x7f", "same same same " * 40, "a" * 70_000, "long words here again and on " * 5_000]
+#: Texts that every operator on documents must take: null, empty, blank, one word, odd letters, long runs, and a very long one.
+ODD = [None, "", "  \n\t ", "one", "Ünïcode 😀 words\x0bhere\x0c", "\x00\x01 \x7f", "same same same " * 40, "a" * 70_000, "long words here again and on " * 5_000, "a" + " " * 1_000_000 + "b" + "\n" * 100_000 + "c" * 300_000]
 
 
 @pytest.fixture(scope="session")
