@@ -14,6 +14,7 @@ from seqloom.operators import aggregation, extraction, ordering, search, selecti
 from seqloom.functions import sequence as S
 from seqloom.sources import codec, readers, writers
 from seqloom.sources.formats import detect_format
+from seqloom.storage import clean
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -207,7 +208,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         else:
             if getattr(a, "threads", 1) < 1:
                 raise ValueError("threads are 1 or more")
-            _run(a, spark or SparkSession.builder.appName("seqloom").master(f"local[{getattr(a, 'threads', 0) if getattr(a, 'threads', 1) > 1 else '*'}]").config("spark.ui.enabled", "false").getOrCreate())
+            spark = spark or SparkSession.builder.appName("seqloom").master(f"local[{getattr(a, 'threads', 0) if getattr(a, 'threads', 1) > 1 else '*'}]").config("spark.ui.enabled", "false").getOrCreate()
+            try:
+                _run(a, spark)
+            finally:
+                clean(spark)
     except (ValueError, OSError) as e:
         _say(f"seqloom: {e}")
         return 1

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: list[str] = []
+#: The paths that folder() gave out, for clean().
+_MADE: list[str] = []
 
 
 def folder(spark: SparkSession, tag: str) -> str:
@@ -24,7 +26,20 @@ def folder(spark: SparkSession, tag: str) -> str:
             _OWN.append(tempfile.mkdtemp(prefix="seqloom-"))
             atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
         base = f"file://{_OWN[0]}"
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    _MADE.append(f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def clean(spark: SparkSession) -> int:
+    """Deletes the tables and files that this process has written to the shared folder; how many paths.
+
+    For when results have been read or stored elsewhere: DataFrames that operators returned may still read them.
+    """
+    n = 0
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        n += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:

@@ -177,3 +177,14 @@ def test_clusters_need_a_shared_folder(spark, monkeypatch):
     cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://x:7077"))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         storage.folder(cluster, "x")
+
+
+def test_written_tables_are_cleaned(spark, records):
+    from pathlib import Path
+
+    from seqloom import storage
+
+    table = storage.written(records(("a", "ACGT")), "t")
+    path = Path(storage._MADE[-1].removeprefix("file://").removeprefix("file:"))
+    assert table.count() == 1 and path.exists()
+    assert storage.clean(spark) >= 1 and not path.exists() and storage.clean(spark) == 0
