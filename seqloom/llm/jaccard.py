@@ -11,7 +11,8 @@ come last. Each candidate, of either way, is decided by its whole sets.
 First each set is compared with one that it met, the least; copies of one text are joined by that. Pairs that are not joined
 then must also pass a second fingerprint, which holds a bit for each class of shingles: whether the set has an odd number of
 them. Each shingle that only one of two sets has flips one bit, so sets that differ in d shingles differ in d bits or fewer:
-no pair of the similarity is lost here either.
+no pair of the similarity is lost here either. For TURNS turns each set is compared with the one nearest to it by that, as
+long as that joins any; then all pairs of different components that are left are compared.
 """
 
 from __future__ import annotations
@@ -32,8 +33,11 @@ from seqloom.llm.simhash import components, links, majority
 COUNTED, OFTEN = 4000, 3
 #: A group of more sets than this is first compared with its LEADERS, then in those pairs that no link has joined yet.
 LARGE, LEADERS = 2, 1
-#: A group under a counted shingle is dealt to so many tasks, whose leaders meet again; rows of it that are compared at once.
-SALTS, BLOCK = 1024, 2000
+#: A group under a shingle that more sets seem to have is dealt in parts of about that many, whose leaders meet again; rows of a
+#: group that are compared at once.
+PART, BLOCK = 4096, 2000
+#: Turns in which each set is compared with its nearest one alone.
+TURNS = 3
 #: Sets that are compared with one set in one task.
 HUB = 256
 #: The most bits of a set's fingerprint of odd classes; it has as many as shingles, rounded up to a power of two.
@@ -107,7 +111,7 @@ def _sets(batches, shingle: int, once: bool = True) -> Iterator[tuple]:
 
 
 def _prefixes(g: np.ndarray, edges: np.ndarray, often: np.ndarray, times: np.ndarray, similarity: float) -> tuple[np.ndarray, ...]:
-    """(shingle, set, place, whether it was counted) of each set's prefix: by how often a shingle was counted, then by its hash."""
+    """(shingle, set, place, how often it was counted) of each set's prefix: by how often a shingle was counted, then by its hash."""
     n = np.diff(edges)
     of = np.repeat(np.arange(len(n)), n)
     late = np.zeros(len(g), np.int64)
@@ -117,7 +121,7 @@ def _prefixes(g: np.ndarray, edges: np.ndarray, often: np.ndarray, times: np.nda
     order = np.lexsort((g, late, of))
     place = np.arange(len(g)) - np.repeat(edges[:-1], n)
     kept = place < np.repeat(n - np.ceil(similarity * n - _SLACK) + 1, n)
-    return g[order][kept], of[kept], place[kept], late[order][kept] > 0
+    return g[order][kept], of[kept], place[kept], late[order][kept]
 
 
 def _possible(x, y, i, j, similarity: float):
@@ -129,14 +133,14 @@ def _possible(x, y, i, j, similarity: float):
 
 
 _ROW = np.dtype([("node", "<u8"), ("size", "<u2"), ("place", "u1")])
-#: Rows under a counted shingle also hold that shingle: they are dealt by another hash.
+#: Rows under a frequent shingle also hold that shingle: they are dealt by another hash.
 _LATE = np.dtype([*_ROW.descr, ("token", "<u8")])
 
 
-def _dealt(docs: DataFrame, shingle: int, similarity: float, order, bits: int) -> DataFrame:
+def _dealt(docs: DataFrame, shingle: int, similarity: float, order, share: int, bits: int, part: int) -> DataFrame:
     """(bucket, late, part) of the prefixes of all sets: blocks of rows by the top bits of the shingle, 16 bytes a row.
 
-    A counted shingle may be in a share of all sets, so its rows are dealt by a hash of the set as well.
+    One of `share` texts was counted. A shingle that by that over `part` sets have is dealt by a hash of the set as well.
     """
 
     def run(batches):
@@ -158,13 +162,15 @@ def _dealt(docs: DataFrame, shingle: int, similarity: float, order, bits: int) -
         for _, _, g, edges, nodes, use in _sets(batches, shingle):
             n = np.diff(edges)
             g, n, nodes = g[np.repeat(use, n)], n[use], nodes[use]
-            token, of, place, late = _prefixes(g, np.concatenate([[0], np.cumsum(n)]), *order.value, similarity)
+            token, of, place, times = _prefixes(g, np.concatenate([[0], np.cumsum(n)]), *order.value, similarity)
+            parts = times * share // part + 1
+            late = parts > 1
             rows = np.zeros(len(token), _LATE)
             rows["node"], rows["token"] = nodes[of], token
             rows["size"] = np.floor(np.log(n[of]) / math.log(_BASE))
             rows["place"] = place * _PARTS // n[of]
             held[False].append((token[~late], rows[~late][list(_ROW.names)].astype(_ROW)))
-            held[True].append((mixed(token ^ mixed(nodes[of] % np.uint64(SALTS) + np.uint64(1)))[late], rows[late]))
+            held[True].append((mixed(token ^ mixed(nodes[of] % parts.astype(np.uint64) + np.uint64(1)))[late], rows[late]))
             size += len(token)
             if size >= HELD:
                 yield from send()
@@ -208,8 +214,8 @@ def _found(kind: int, a: np.ndarray, b: np.ndarray | None = None, token: np.ndar
 
 
 def _groups(similarity: float, large: int, leaders: int, bits: int):
-    """For mapInArrow, rows of _dealt(). Kind 0: pairs (a, b). Kind 1: the rows of groups and of counted shingles. Kind 2: the
-    first rows of what a counted shingle was dealt to, which meet again."""
+    """For mapInArrow, rows of _dealt(). Kind 0: pairs (a, b). Kind 1: the rows of groups and of frequent shingles. Kind 2: the
+    first rows of what a frequent shingle was dealt to, which meet again."""
 
     def found(bucket, late, parts):
         kind = _LATE if late else _ROW
@@ -277,9 +283,10 @@ def _again(similarity: float, large: int, leaders: int):
     return run
 
 
-def _unjoined(similarity: float):
-    """For mapInArrow, rows (token, i, j, mine, node, size, place, component, odd) sorted by token, i, j: the pairs of two components
-    that can have the similarity; if i and j differ, those of a row of block i and one of block j."""
+def _unjoined(similarity: float, nearest: bool):
+    """For mapInArrow, rows (token, i, j, mine, node, size, place, component, odd) sorted by token, i, j: the pairs (a, b) of two
+    components that can have the similarity; if i and j differ, those of a row of block i and one of block j. With `nearest`, for
+    each a that has any the b with the smallest share d of the differences allowed."""
 
     def run(batches):
         for t in _whole_groups(batches, ["token", "i", "j"]):
@@ -293,6 +300,7 @@ def _unjoined(similarity: float):
                     continue
                 left = h + np.flatnonzero(mine[h:e] == bi[h]) if bi[h] != bj[h] else np.arange(h, e)
                 right = h + np.flatnonzero(mine[h:e] == bj[h]) if bi[h] != bj[h] else left
+                best, partner = np.full(e - h, np.inf), np.zeros(e - h, np.int64)
                 folded = {int(w): _folded(odd[h:e], int(w)) for w in np.unique(wide[h:e])}
                 for i in range(0, len(left), 256):
                     x, y = left[i : i + 256][:, None], right[None, :]
@@ -301,15 +309,25 @@ def _unjoined(similarity: float):
                         r, s = np.nonzero((of[x] != of[y]) & (node[x] > node[y]) & _possible(size[x], size[y], place[x], place[y], similarity))
                         p, q = np.concatenate([p, r]), np.concatenate([q, s])
                     p, q = x[p, 0], y[0, q]
-                    keep = np.zeros(len(p), bool)
+                    ratio = np.full(len(p), np.inf)
                     for w, rows in folded.items():  # compared at the width of the narrower
                         own = np.flatnonzero(np.minimum(wide[p], wide[q]) == w)
                         for k in range(0, len(own), 1 << 15):
                             some = own[k : k + (1 << 15)]
-                            keep[some] = np.bitwise_count(rows[p[some] - h] ^ rows[q[some] - h]).sum(axis=1, dtype=np.int64) <= most[p[some]] + most[q[some]]
-                    if keep.any():
+                            ratio[some] = np.bitwise_count(rows[p[some] - h] ^ rows[q[some] - h]).sum(axis=1, dtype=np.int64) / (most[p[some]] + most[q[some]])
+                    keep = ratio <= 1
+                    if nearest:
+                        a, b, d = np.concatenate([p[keep], q[keep]]) - h, np.concatenate([q[keep], p[keep]]), np.tile(ratio[keep], 2)
+                        order = np.lexsort((node[b], d, a))
+                        own, first = np.unique(a[order], return_index=True)
+                        first = order[first]
+                        less = (d[first] < best[own]) | ((d[first] == best[own]) & (node[b[first]] < partner[own]))
+                        best[own[less]], partner[own[less]] = d[first][less], node[b[first]][less]
+                    elif keep.any():
                         a, b = node[p[keep]], node[q[keep]]
-                        yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                        yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(a), pa.float64())], ["a", "b", "d"])
+                if nearest and (some := np.flatnonzero(best <= 1)).size:
+                    yield pa.record_batch([pa.array(node[h + some]), pa.array(partner[some]), pa.array(best[some])], ["a", "b", "d"])
 
     return run
 
@@ -387,7 +405,7 @@ def _alike(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -
     return written(dealt.mapInArrow(decide, "a long, b long"), "jaccard-links")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, counted: int = COUNTED, large: int = LARGE, leaders: int = LEADERS, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, counted: int = COUNTED, large: int = LARGE, leaders: int = LEADERS, block: int = BLOCK, part: int = PART) -> DataFrame:
     """doc_id and component_id (the smallest doc_id reachable by links) of every row of docs (doc_id, text).
 
     Texts link if the sets of their shingles have the Jaccard similarity or more, those without words with each other. Equal
@@ -423,27 +441,50 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     order = np.argsort(often)
     order = spark.sparkContext.broadcast((often[order], times.column("n").to_numpy()[order]))
 
-    met = written(_dealt(docs, shingle, similarity, order, bits).mapInArrow(_groups(similarity, large, leaders, bits), _FOUND), "jaccard-met")
+    met = written(_dealt(docs, shingle, similarity, order, share, bits, part).mapInArrow(_groups(similarity, large, leaders, bits), _FOUND), "jaccard-met")
     again = met.where("kind = 2").select("token", F.col("a").alias("node"), "size", "place").repartition("token").sortWithinPartitions("token", "node")
     pairs = met.where("kind = 0").select("a", "b").union(again.mapInArrow(_again(similarity, large, leaders), "a long, b long")).union(close)
     pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     joined = _alike(docs, written(pairs, "jaccard-pairs"), shingle, similarity)
     grouped = written(components(joined), "jaccard-groups")
-    known = F.broadcast(grouped) if grouped.count() * 32 <= BROADCAST_BYTES else grouped
-    rest = met.where("kind = 1").select("token", F.col("a").alias("node"), "size", "place")
-    rest = rest.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = written(rest.groupBy("token").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token", F.ceil(F.col("n") / block).cast("int").alias("n")), "jaccard-open")
-    if not open_.isEmpty():
-        few = open_.count() * 32 <= BROADCAST_BYTES
-        rest = written(rest.join(F.broadcast(open_) if few else open_, "token"), "jaccard-rest")
-        odd = found.join(rest.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("odd").alias("odd"))
-        rest = rest.join(odd, "node").withColumn("mine", F.pmod(F.xxhash64("node"), "n").cast("int"))
+
+    def small(df: DataFrame) -> DataFrame:
+        """A written table of two or three numbers a row, to be broadcast if its size allows."""
+        return F.broadcast(df) if df.count() * 64 <= BROADCAST_BYTES else df
+
+    alive, turn, final = None, 0, False
+    while True:
+        rest = met.where("kind = 1").select("token", F.col("a").alias("node"), "size", "place")
+        if alive is not None:  # the others have no partner in another component
+            rest = rest.join(small(alive), "node", "left_semi")
+        rest = rest.join(small(grouped), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        open_ = rest.groupBy("token").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y"))
+        open_ = written(open_.where("x < y").select("token", F.ceil(F.col("n") / block).cast("int").alias("n")), "jaccard-open")
+        rest = written(rest.join(small(open_), "token"), "jaccard-rest")
+        if rest.isEmpty():
+            break
+        odd = found.join(small(written(rest.select("node").distinct(), "jaccard-open")), "node", "left_semi").groupBy("node").agg(F.min("odd").alias("odd"))
+        rows = rest.join(odd, "node").withColumn("mine", F.pmod(F.xxhash64("node"), "n").cast("int"))
         each = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda o: F.struct(F.least(o, "mine").alias("i"), F.greatest(o, "mine").alias("j")))
-        rest = rest.withColumn("pair", F.explode(each)).select("token", "pair.i", "pair.j", "mine", "node", "size", "place", "component", "odd")
-        rest = rest.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-        pairs = written(rest.mapInArrow(_unjoined(similarity), "a long, b long").distinct(), "jaccard-pairs")
-        if not pairs.isEmpty():
-            grouped = written(components(joined.union(_alike(docs, pairs, shingle, similarity))), "jaccard-groups")
+        rows = rows.withColumn("pair", F.explode(each)).select("token", "pair.i", "pair.j", "mine", "node", "size", "place", "component", "odd")
+        pairs = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_unjoined(similarity, not final), "a long, b long, d double")
+        if not final:
+            pairs = pairs.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+            pairs = written(pairs, "jaccard-nearest")
+            alive = pairs.select(F.col("a").alias("node"))
+            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = written(pairs.select("a", "b").distinct(), "jaccard-pairs")
+        if pairs.isEmpty():
+            break
+        more = _alike(docs, pairs, shingle, similarity)
+        none = more.isEmpty()
+        if not none:
+            joined = joined.union(more)
+            grouped = written(components(joined), "jaccard-groups")
+        if final:
+            break
+        turn += 1
+        final = none or turn == TURNS
     nodes = written(nodes.select("node", "first").join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node")), "jaccard-components")
     least = nodes.groupBy("component").agg(F.min("first").alias("component_id"))
     known = written(nodes.join(least, "component").select("node", "component_id"), "jaccard-components")

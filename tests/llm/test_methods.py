@@ -367,3 +367,36 @@ def test_wide_join_gives_the_same_revisits(spark, monkeypatch):
     monkeypatch.setattr(warc, "BROADCAST_BYTES", 0)
     assert few == sorted((r.page_id, r.record_type, r.refers_to) for r in warc.with_revisits(df).collect())
     assert sum(k == "revisit" for _, k, _ in few) == 19
+
+
+# ---- beyond the bounds of broadcasts the results are the same
+
+
+def test_near_duplicates_by_joins(documents, odd, monkeypatch):
+    from seqloom.llm import jaccard
+
+    r = random.Random(13)
+    bases = [[str(r.randint(0, 2000)) for _ in range(r.randint(15, 90))] for _ in range(5)]
+    texts = list(odd[:6])
+    for _ in range(80):
+        w = list(r.choice(bases))
+        for _ in range(r.randint(0, 4)):
+            w[r.randrange(len(w))] = r.choice("xyz")
+        texts.append(" ".join(w))
+    monkeypatch.setattr(jaccard, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(jaccard, "HUB", 3)
+    got = {x.doc_id: x.component_id for x in jaccard.near_duplicates(documents(texts).repartition(4), block=4, part=5).collect()}
+    assert got == jaccard_groups(dict(enumerate(texts)), 0.8)
+
+
+def test_odd_classes_bound_the_differences():
+    from seqloom.llm import jaccard
+
+    r = np.random.default_rng(2)
+    a = r.integers(0, 1 << 63, 500).astype(np.uint64)
+    for n in (0, 1, 7, 60, 300):
+        b = np.concatenate([a[n:], r.integers(0, 1 << 63, n // 2).astype(np.uint64)])
+        x, y = jaccard.odd_classes(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+        words = min(len(x), len(y)) // 8
+        differ = int(np.bitwise_count(jaccard._folded([x], words) ^ jaccard._folded([y], words)).sum())
+        assert differ <= n + n // 2 and (differ > 0) == (n > 0)
