@@ -82,6 +82,13 @@ def write_archives(rows: DataFrame, path: str, compression: str = "none", file_b
             per_file = 1 if upper is None else max(1, file_bytes // (upper + HEADERS))
             own.withColumn("block", block).select(F.concat(head, F.col("block"), F.lit(CRLF)).alias("value")).write.mode("append").option("lineSep", CRLF).option("maxRecordsPerFile", per_file).option("compression", compression).text(path)
         lower = upper
+    # the first task writes a file even if it has no record
+    spark = rows.sparkSession
+    files = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/part-00000-*")
+    system = files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for f in system.globStatus(files) or ():
+        if not f.getLen():
+            system.delete(f.getPath(), False)
 
 
 def records(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
