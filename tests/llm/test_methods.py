@@ -400,3 +400,31 @@ def test_odd_classes_bound_the_differences():
         words = min(len(x), len(y)) // 8
         differ = int(np.bitwise_count(jaccard._folded([x], words) ^ jaccard._folded([y], words)).sum())
         assert differ <= n + n // 2 and (differ > 0) == (n > 0)
+
+
+# ---- the pipeline by its contract
+
+
+def test_stages_by_the_contract(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = corpus_pipeline.toxicity(spark, docs, sf).cache()
+    want = jaccard_groups({r.doc_id: r.text for r in kept.collect()}, corpus_pipeline.SIMILARITY)
+    kept = corpus_pipeline.near_dedup(spark, kept, sf).cache()
+    rows = {r.doc_id: r for r in kept.collect()}
+    assert kept.columns == docs.columns and set(rows) == {i for i, top in want.items() if i == top}
+
+    want = brute.kept_words({i: r.text for i, r in rows.items()})
+    kept = corpus_pipeline.substring_dedup(spark, kept, sf).cache()
+    got = {r.doc_id: r for r in kept.collect()}
+    assert kept.columns == docs.columns and set(got) == set(rows)
+    for i, r in got.items():
+        cut = len(want[i][0]) > len(want[i][1])
+        assert brute.words(r.text) == want[i][1] and r.lang == rows[i].lang and (cut or r == rows[i])
+        assert r.n_chars == (len(r.text) if cut else rows[i].n_chars)
+
+    packed = corpus_pipeline.packing(spark, kept, sf).collect()
+    whole = corpus_pipeline.run(spark, sf).collect()
+    # cuts depend on the order of partitions; documents and their tokens don't
+    tokens = lambda pieces: {(r.doc_id, r.doc_tokens) for r in pieces}
+    assert {r.doc_id for r in packed} == set(got) and tokens(whole) == tokens(packed)
+    assert sum(r.length for r in whole) == sum(r.length for r in packed)
