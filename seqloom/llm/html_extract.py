@@ -2,7 +2,7 @@
 
 Pages of one host are parsed into trees, runs of like siblings are folded into one repeated node, and the trees are
 aligned by simple tree matching into one template tree. A text node whose text is the same wherever pages of the host have
-it is template, as is a text that most pages have in a run of like nodes; one that varies is a slot. The slot that holds nearly all varying words of the host's pages is its main
+it is template, as is a text that most pages have anywhere in a run of like nodes; one that varies is a slot. The slot that holds nearly all varying words of the host's pages is its main
 part: what else varies outside it (menus, adverts, footers) goes. Elements, roles and names that tell boilerplate break ties: they
 can't be the main part, they are cut inside it where the name says nothing else, and they decide alone on hosts with too few pages.
 Nothing here recurses, and each step takes time in proportion to the page but for the alignment, which has a budget.
@@ -10,6 +10,7 @@ Nothing here recurses, and each step takes time in proportion to the page but fo
 
 from __future__ import annotations
 
+import math
 import pickle
 import re
 from bisect import bisect_left
@@ -18,7 +19,7 @@ from html import unescape
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm.shared import BROADCAST_BYTES, written
@@ -55,12 +56,13 @@ _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 #: The share of its containers' varying words that a node's main child holds at least.
 DOMINANT = 0.8
-#: Texts of a run that a page counts, from either end, and that a template keeps.
-RUN_ENDS, RUN_TEXTS = 8, 64
-#: Pairs of nodes that one alignment weighs by what is below them; beyond it labels alone decide. A template's most nodes.
+#: Pairs of nodes that one alignment weighs by what is below them; beyond it labels alone decide. Nodes of a template from which
+#: those go that few pages have.
 WEIGHED, MOST_NODES = 50_000, 20_000
-#: The most children of a node that stands for a run.
+#: Children from which what is folded into a node that stands for a run is aligned in pairs of pairs, no more one by one.
 LONGEST = 500
+#: Bytes of pages that are folded into one partial template.
+FOLDED = 64 << 20
 #: Parts by which the partial templates of a host are merged first.
 SALTS = 64
 
@@ -68,10 +70,10 @@ SALTS = 64
 class Node:
     """An element (label: its name, class and id), or a text node (label `#`). zone: 2 is boilerplate, 1 may be."""
 
-    __slots__ = ("label", "tag", "zone", "kids", "text")
+    __slots__ = ("label", "tag", "zone", "kids", "text", "key")
 
     def __init__(self, label: str, tag: str = "", zone: int = 0, text: str = ""):
-        self.label, self.tag, self.zone, self.text, self.kids = label, tag, zone, text, []
+        self.label, self.tag, self.zone, self.text, self.kids, self.key = label, tag, zone, text, [], None
 
 
 def names_zone(name: str) -> int:
@@ -198,36 +200,67 @@ def parse(html: str) -> Node:
 
 class Template:
     """A template node: its label and tag, children, the one text that all pages have here (or None), the pages it was seen in,
-    the words of its own text in all of them, and zone. often: of a run of texts, in how many pages it has which. nodes: of one
-    page's template, the page's own nodes."""
+    the words of its own text in all of them, and zone. often: in how many pages a text node has which texts (None: `text` in all).
+    run: whether a page has several texts here. nodes: of one page's template, the page's own nodes."""
 
-    __slots__ = ("label", "tag", "kids", "text", "pages", "words", "zone", "often", "nodes")
+    __slots__ = ("label", "tag", "kids", "text", "pages", "words", "zone", "often", "nodes", "run")
 
-    def __init__(self, label: str, tag: str, text: str | None, pages: int = 1, words: int = 0, zone: int = 0, often: dict | None = None, nodes: list | None = None):
-        self.label, self.tag, self.kids, self.text, self.pages, self.words, self.zone, self.often, self.nodes = label, tag, [], text, pages, words, zone, often, nodes
+    def __init__(self, label: str, tag: str, text: str | None, pages: int = 1, words: int = 0, zone: int = 0, often: dict | None = None, nodes: list | None = None, run: bool = False):
+        self.label, self.tag, self.kids, self.text, self.pages, self.words, self.zone, self.often, self.nodes, self.run = label, tag, [], text, pages, words, zone, often, nodes, run
+
+    def counts(self) -> dict:
+        """In how many pages a text node has which texts."""
+        return {self.text: self.pages} if self.often is None else self.often
 
 
 def _squeezed(text: str) -> str:
     return " ".join(text.split())
 
 
-def _leaf(node: Node, nodes: list | None) -> Template:
-    """Short texts stand for themselves, long ones for a hash: a template's size has a bound for each node."""
+def _key(node: Node) -> tuple[str, int]:
+    """What stands for the text of a text node, and its words. Short texts stand for themselves, long ones for a hash."""
+    if node.key is None:
+        parts = node.text.split()
+        text = " ".join(parts)
+        node.key = text if len(text) <= 32 else xxhash.xxh3_128_hexdigest(text), len(parts)
+    return node.key
+
+
+def _leaf(node: Node, nodes: list) -> Template:
     if node.label != "#":
         return Template(node.label, node.tag, None, 1, 0, node.zone, None, nodes)
-    parts = node.text.split()
-    text = " ".join(parts)
-    return Template("#", "#", text if len(text) <= 32 else xxhash.xxh3_128_hexdigest(text), 1, len(parts), 0, None, nodes)
+    return Template("#", "#", *_key(node)[:1], 1, _key(node)[1], 0, None, nodes)
+
+
+def _folded(a: list[Template], b: list[Template]) -> list[Template]:
+    """The children of two nodes of one run as those of one: like ones join in their order, the others are inserted."""
+    both, i, j = [], 0, 0
+    for x, y in [*_in_order([k.label for k in a], [k.label for k in b]), (len(a), len(b))]:
+        both += a[i:x] + b[j:y]
+        if x < len(a):
+            p, q = a[x], b[y]
+            p.nodes += q.nodes
+            p.words += q.words
+            if p.label == "#" and p.text != q.text:
+                p.text = None
+            both.append(p)
+        i, j = x + 1, y + 1
+    return both
 
 
 def template_of(page: Node) -> Template:
-    """A page's own template: a run of like siblings (REPEATED) becomes one node."""
+    """A page's own template: a run of like siblings (REPEATED) becomes one node, which holds all that they hold.
+
+    Nodes of a run are folded one by one. Where what they hold differs and comes to over LONGEST children, the rest is folded in
+    pairs, these in pairs again and so on: that takes the run's size times its logarithm, however unlike its nodes are.
+    """
     root = _leaf(page, [page])
     todo = [root]
     while todo:
         t = todo.pop()
         # the children of all nodes that were folded into this one, folded each on its own and then aligned
         whole: list[Template] | None = None
+        later: list[list[Template]] = []
         for node in t.nodes:
             kids: list[Template] = []
             for k in node.kids:
@@ -237,9 +270,9 @@ def template_of(page: Node) -> Template:
                     last = kids[-1]
                     last.nodes.append(k)
                     if k.label == "#":
-                        one = _leaf(k, None)
-                        last.words += one.words
-                        if one.text != last.text:
+                        text, n = _key(k)
+                        last.words += n
+                        if text != last.text:
                             last.text = None
                 else:
                     kids.append(_leaf(k, [k]))
@@ -247,24 +280,15 @@ def template_of(page: Node) -> Template:
                 whole = kids
                 continue
             if len(whole) > LONGEST and [k.label for k in whole] != [k.label for k in kids]:
-                continue  # what is too unlike to fold stays a slot
-            both, i, j = [], 0, 0
-            for x, y in [*_in_order([k.label for k in whole], [k.label for k in kids]), (len(whole), len(kids))]:
-                both += whole[i:x] + kids[j:y]
-                if x < len(whole):
-                    a, b = whole[x], kids[y]
-                    a.nodes += b.nodes
-                    a.words += b.words
-                    if a.label == "#" and a.text != b.text:
-                        a.text = None
-                    both.append(a)
-                i, j = x + 1, y + 1
-            whole = both
-        t.kids = whole or []
+                later.append(kids)
+            else:
+                whole = _folded(whole, kids)
+        while len(later) > 1:
+            later = [_folded(*later[i : i + 2]) if i + 1 < len(later) else later[i] for i in range(0, len(later), 2)]
+        t.kids = _folded(whole, later[0]) if later else whole or []
         for k in t.kids:
             if k.label == "#" and len(k.nodes) > 1:
-                ends = k.nodes if len(k.nodes) <= 2 * RUN_ENDS else k.nodes[:RUN_ENDS] + k.nodes[-RUN_ENDS:]
-                k.often = {_leaf(x, None).text: 1 for x in ends}
+                k.run, k.often = True, {_key(x)[0]: 1 for x in k.nodes}
         todo += [k for k in t.kids if k.label != "#"]
     return root
 
@@ -365,28 +389,19 @@ def matched(a: Template, b: Template) -> int:
     return Alignment().matched(a, b)
 
 
-def _summed(a: dict, b: dict) -> dict:
-    """Counts of both; of more than RUN_TEXTS those stay that stand out, less what the others have (as Misra and Gries do)."""
-    out = dict(a)
-    for k, n in b.items():
-        out[k] = out.get(k, 0) + n
-    out.pop(None, None)
-    if len(out) > RUN_TEXTS:
-        less = sorted(out.values(), reverse=True)[RUN_TEXTS]
-        out = {k: n - less for k, n in out.items() if n > less}
-    return out
-
-
 def merge(a: Template, b: Template) -> Template:
     """Merges template b into a, its equal in label: matched nodes join, the others are inserted in order."""
     aligned, todo = Alignment(), [(a, b)]
     while todo:
         x, y = todo.pop()
         if x.label == "#":
-            if x.often is not None or y.often is not None:
-                x.often = _summed(x.often or {x.text: x.pages}, y.often or {y.text: y.pages})
+            if x.often is not None or y.often is not None or x.text != y.text:
+                x.often = x.counts()
+                for k, n in y.counts().items():
+                    x.often[k] = x.often.get(k, 0) + n
             if x.text != y.text:
                 x.text = None
+            x.run |= y.run
         x.pages += y.pages
         x.words += y.words
         kids, i, j = [], 0, 0
@@ -409,22 +424,22 @@ def _preorder(t: Template) -> list[Template]:
     return out
 
 
-def packed(t: Template, most: int = MOST_NODES) -> bytes:
-    """A template as bytes. Of one with over `most` nodes those go that the fewest pages have: they can't be in half of all."""
+def packed(t: Template, most: int = MOST_NODES, rare: float = math.inf) -> bytes:
+    """A template as bytes. Of one with over `most` nodes those go that the fewest pages have, but none that more than `rare` have."""
     nodes = _preorder(t)
     if len(nodes) > most:
-        least = sorted((x.pages for x in nodes), reverse=True)[most]
+        least = min(rare, sorted((x.pages for x in nodes), reverse=True)[most])
         for x in nodes:
             x.kids = [k for k in x.kids if k.pages > least]
         nodes = _preorder(t)
-    return pickle.dumps([(x.label, x.tag, len(x.kids), x.text, x.pages, x.words, x.zone, x.often) for x in nodes])
+    return pickle.dumps([(x.label, x.tag, len(x.kids), x.text, x.pages, x.words, x.zone, x.often, x.run) for x in nodes])
 
 
 def unpacked(raw: bytes) -> Template:
     rows = pickle.loads(raw)
     root, todo = None, []
-    for label, tag, n, text, pages, words, zone, often in rows:
-        t = Template(label, tag, text, pages, words, zone, often)
+    for label, tag, n, text, pages, words, zone, often, run in rows:
+        t = Template(label, tag, text, pages, words, zone, often, None, run)
         if root is None:
             root = t
         else:
@@ -475,8 +490,8 @@ class Wrapper:
 
     def constants(self, t: Template) -> set[str]:
         """The texts that are template here: the one that all pages have, or those of a run that at least half of them have."""
-        if t.often is not None:
-            return {k for k, n in t.often.items() if n >= self.least}
+        if t.run:
+            return {k for k, n in t.counts().items() if n >= self.least}
         return {t.text} if self.constant(t) else set()
 
     def applied(self, page: Node) -> tuple[list[Node], set[int], set[int]]:
@@ -494,7 +509,7 @@ class Wrapper:
             if id(t) in self.boilerplate:
                 gone.update(map(id, x.nodes))
             if t.label == "#" and (fixed := self.constants(t)):
-                constant.update(id(k) for k in x.nodes if _leaf(k, None).text in fixed)
+                constant.update(id(k) for k in x.nodes if _key(k)[0] in fixed)
             met = aligned.pairs(x, t)
             todo += [(x.kids[i], t.kids[j]) for i, j in met]
             if inside and id(t) in path:
@@ -575,13 +590,21 @@ def _blocks(roots: list[Node], page: Node, constant: set[int], gone: set[int]) -
     return "\n\n".join(blocks)
 
 
-def host_templates(pages: DataFrame) -> DataFrame:
+def _text_key(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+
+
+def host_templates(pages: DataFrame, least_pages: int = 5) -> DataFrame:
     """host, template and pages (the number of those with distinct contents) for each host of `pages` (url, html).
 
     Pages are dealt by host and a hash of their contents, so that copies meet in one task and count once, however they lie.
-    Each task folds its pages into a template a host; these partial templates, no more than tasks for any host, are merged
-    by host and one of SALTS, then by host. So a hot host costs its tasks alike, no task gathers its pages, and a task sends a
-    copied page on once. A template has MOST_NODES nodes at most.
+    Each task folds its pages into a template a host (one for each FOLDED bytes); these partial templates are merged by host and
+    one of SALTS, then by host. So a hot host costs its tasks alike, no task gathers its pages, and a task sends a copied page on
+    once.
+
+    A partial template counts every text. Before they are merged, the counts are summed by host and text, dealt by both; only
+    texts that half of the host's pages and least_pages have are kept, with all their counts: at most twice as many as a page has.
+    Of a template of over MOST_NODES nodes those go that no quarter of its pages has.
     """
 
     def once(batches):
@@ -596,35 +619,68 @@ def host_templates(pages: DataFrame) -> DataFrame:
             yield pa.record_batch([b.column(0), pa.array(keys, pa.binary()), b.column(1)], ["host", "key", "html"]).filter(pa.array(new, pa.bool_()))
 
     def fold(batches):
-        host, last, t, n = None, None, None, 0
+        host, last, t, n, size = None, None, None, 0, 0
 
         def row():
-            return pa.record_batch([pa.array([host]), pa.array([packed(t)], pa.binary()), pa.array([n], pa.int64())], ["host", "template", "pages"])
+            return pa.record_batch([pa.array([host]), pa.array([packed(t, rare=(n - 1) // 4)], pa.binary()), pa.array([n], pa.int64())], ["host", "template", "pages"])
 
         for b in batches:
             for h, key, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                if t is not None and h == host:
-                    if key != last:
-                        merge(t, template_of(parse(html.as_py() or "")))
-                        n += 1
-                else:
-                    if t is not None:
-                        yield row()
-                    host, t, n = h, template_of(parse(html.as_py() or "")), 1
-                last = key
+                if h == host and key == last:
+                    continue
+                html = html.as_py() or ""
+                if t is not None and (h != host or size > FOLDED):
+                    yield row()
+                    t = None
+                own = template_of(parse(html))
+                t, n, size = (own, 1, len(html)) if t is None else (merge(t, own), n + 1, size + len(html))
+                host, last = h, key
         if t is not None:
             yield row()
 
+    def counted(batches):
+        for b in batches:
+            for host, raw, n, total in zip(*(b.column(c) for c in ("host_key", "template", "pages", "total"))):
+                least, counts = max(least_pages, total.as_py() / 2), defaultdict(int)
+                for x in _preorder(unpacked(raw.as_py())):
+                    if x.label == "#":
+                        for k, m in x.counts().items():
+                            counts[k] += m
+                rest = total.as_py() - n.as_py()
+                some = {_text_key(k): m for k, m in counts.items() if m + rest >= least}
+                yield pa.record_batch([pa.array([host.as_py()] * len(some), pa.int64()), pa.array(list(some), pa.int64()), pa.array(list(some.values()), pa.int64()), pa.array([least] * len(some), pa.float64())], ["host_key", "text", "n", "least"])
+
+    def often(batches):
+        for b in batches:
+            out = []
+            for raw, texts in zip(b.column("template"), b.column("texts").to_pylist()):
+                t, texts = unpacked(raw.as_py()), set(texts or ())
+                for x in _preorder(t):
+                    if x.often is not None:
+                        x.often = {k: n for k, n in x.often.items() if _text_key(k) in texts}
+                out.append(packed(t, math.inf))
+            yield pa.record_batch([b.column("host"), pa.array(out, pa.binary()), b.column("pages")], ["host", "template", "pages"])
+
     def join(key, table):
-        whole = None
+        whole, n = None, sum(table.column("pages").to_pylist())
         for x in table.column("template"):
             whole = unpacked(x.as_py()) if whole is None else merge(whole, unpacked(x.as_py()))
-        return pa.table({"host": pa.array([key[0].as_py()]), "template": pa.array([packed(whole)], pa.binary()), "pages": pa.array([sum(table.column("pages").to_pylist())], pa.int64())})
+        return pa.table({"host": pa.array([key[0].as_py()]), "template": pa.array([packed(whole, rare=(n - 1) // 4)], pa.binary()), "pages": pa.array([n], pa.int64())})
+
+    def small(df: DataFrame, size: Column) -> DataFrame:
+        """A written table, to be broadcast if its size allows."""
+        return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else df
 
     schema = "host string, template binary, pages long"
     rows = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string"))
     dealt = rows.mapInArrow(once, "host string, key binary, html string").repartition("host", "key").sortWithinPartitions("host", "key")
-    parts = dealt.mapInArrow(fold, schema).withColumn("salt", F.pmod(F.xxhash64("template"), F.lit(SALTS)))
+    parts = written(dealt.mapInArrow(fold, schema), "templates").withColumn("host_key", F.xxhash64("host"))
+    total = small(written(parts.groupBy("host").agg(F.sum("pages").alias("total")), "templates"), F.length("host") + 64)
+    texts = parts.join(total, "host").mapInArrow(counted, "host_key long, text long, n long, least double")
+    texts = texts.groupBy("host_key", "text").agg(F.sum("n").alias("n"), F.first("least").alias("least")).where("n >= least")
+    texts = small(written(texts.groupBy("host_key").agg(F.collect_list("text").alias("texts")), "templates"), 8 * F.size("texts") + 64)
+    parts = parts.join(texts, "host_key", "left").mapInArrow(often, schema)
+    parts = parts.withColumn("salt", F.pmod(F.xxhash64("template"), F.lit(SALTS)))
     return parts.groupBy("host", "salt").applyInArrow(join, schema).groupBy("host").applyInArrow(join, schema)
 
 
@@ -635,12 +691,12 @@ def extract(pages: DataFrame, least_pages: int = 5, most_bytes: int = BROADCAST_
     """page_id, url, text and n_chars (code points) of the main text of every page (page_id, url, html).
 
     A text that stands at its place in half of the host's distinct pages, least_pages or more, and never another there, is
-    template and dropped, as is one that so many pages have among the first or last of a run of paragraphs or items; so is what lies outside the host's main part. Fewer pages show no template: there, and on a page
-    without the main part, elements and names alone decide.
+    template and dropped, as is one that so many pages have anywhere in a run of paragraphs or items; so is what lies outside
+    the host's main part. Fewer pages show no template: there, and on a page without the main part, elements and names alone decide.
     The templates are broadcast while they have at most most_bytes; else pages and templates are joined by host.
     A null or empty html has an empty text; a null url has the empty host; repeated rows are extracted each.
     """
-    templates = written(host_templates(pages), "templates")
+    templates = written(host_templates(pages, least_pages), "templates")
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), host_of(F.col("url")).alias("host"))
     names = ["page_id", "url", "text", "n_chars"]
 

@@ -116,6 +116,36 @@ def test_without_the_template_the_text_differs(layouts):
     assert {"plain divs", "classes that say nothing", "nested wrappers", "constant notice inside", "constant end", "title beside", "board"} <= unlike
 
 
+def test_texts_in_the_middle_of_long_runs(spark):
+    """What most pages have is template wherever it stands in a run, however many texts the runs have and however pages are dealt."""
+    rows, want = [], {}
+    for k in range(12):
+        p = [f"paragraph {i} of page {k}" for i in range(90)]
+        shared = ["This notice stands on every page"] + ["This one on most pages"] * (k % 12 < 7)
+        rows.append((k, f"http://a.org/{k}", "<article>" + "".join(f"<p>{x}</p>" for x in [*p[:30], *shared, *p[30:]]) + "</article>"))
+        want[k] = "\n\n".join(p)
+    # single texts first, then runs
+    for k in range(20, 32):
+        p = [f"paragraph {i} of page {k}" for i in range(1 if k < 26 else 3)]
+        rows.append((k, f"http://b.org/{k}", "<article>" + "".join(f"<p>{x}</p>" for x in (["Only a notice"] if k in (20, 21, 22) else [*p, *["Only a notice"] * (k >= 26)])) + "</article>"))
+        want[k] = "" if k in (20, 21, 22) else "\n\n".join(p)
+    for parts in (1, 5):
+        pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
+        got = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
+        assert [k for k in want if got[k] != want[k]] == []
+
+
+def test_unlike_nodes_of_a_long_run_are_folded_whole():
+    html = "<ul>" + "".join(f"<li><i class=c{i}>x</i><i class=d{i}>x</i></li>" for i in range(2000)) + "<li><code>the last</code></li></ul>"
+    nodes = [x for t in html_extract._preorder(html_extract.template_of(html_extract.parse(html))) for x in t.nodes]
+    assert len(nodes) == len({id(x) for x in nodes}) and sum(x.tag == "i" for x in nodes) == 4000 and sum(x.tag == "code" for x in nodes) == 1
+
+
+def test_frequent_nodes_stay_in_a_template_of_any_size():
+    t = html_extract.template_of(html_extract.parse("<div>" + "".join(f"<p class=c{i}>x</p>" for i in range(50)) + "</div>"))
+    assert len(html_extract._preorder(html_extract.unpacked(html_extract.packed(t, 30, rare=0)))) == 102
+
+
 @pytest.mark.parametrize("html", ["<div>" * 5000 + "x" + "</div>" * 5000, "<a " * 350_000, "<a \"" * 250_000 + ">", "<p><select>" + "<b>" * 30_000 + "<hr>" * 30_000, "<ul>" + "".join(f"<li><i class=c{i}>x</i>" for i in range(10_000))])
 def test_odd_pages_take_seconds(html):
     import time
