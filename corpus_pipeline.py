@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from seqloom.llm.jaccard import near_duplicates
 from seqloom.llm.packing import pack
 from seqloom.llm.queries import tokenizer_path
-from seqloom.llm.shared import written
+from seqloom.llm.shared import release, written
 from seqloom.llm.substring import repeated_spans
 from seqloom.llm.toxicity import with_scores
 
@@ -25,6 +25,7 @@ NEAR_BITS = 7
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network scores under 0.7. It learns from the labelled rows of the table documents."""
     scored = with_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    release()  # what the training took
     return scored.where("predicted = 0").select(*docs.columns)
 
 

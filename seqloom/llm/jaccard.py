@@ -42,6 +42,8 @@ TURNS = 3
 HUB = 256
 #: The most bits of a set's fingerprint of odd classes; it has as many as shingles, rounded up to a power of two.
 MOST_CLASSES = 1 << 16
+#: Bytes of links (two numbers each) up to which the driver finds their components; beyond it Spark does.
+FEW_LINKS = 4 << 20
 #: Prefix rows that a task holds before it sends them on.
 HELD = 1_000_000
 _M1, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x94D049BB133111EB)
@@ -332,23 +334,60 @@ def _unjoined(similarity: float, nearest: bool):
     return run
 
 
+def _dealt_pairs(a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+    """(node, hub, part, role), sorted by node: where the texts of the pairs (a, b) go, as _alike() says; a and b differ."""
+    hub, of, n = np.unique(a, return_inverse=True, return_counts=True)
+    share = -(-n // HUB)
+    part = (mixed(b.view(np.uint64)) % share[of].astype(np.uint64)).astype(np.int64)
+    whole = np.arange(share.sum()) - np.repeat(np.cumsum(share) - share, share)
+    hub = np.repeat(hub, share)
+    node, hub, part = np.concatenate([b, hub]), np.concatenate([a, hub]), np.concatenate([part, whole])
+    order = np.argsort(node, kind="stable")
+    return [node[order], hub[order], part[order].astype(np.int32), (np.arange(len(node)) < len(a))[order].astype(np.int32)]
+
+
+def _components(edges: DataFrame) -> DataFrame:
+    """simhash.components(). Few edges are joined here: each round there is several jobs, and each of these takes memory of the
+    driver, which holds far less for the edges themselves."""
+    spark = edges.sparkSession
+    if edges.count() * 16 > FEW_LINKS:
+        return components(edges)
+    t = edges.select("a", "b").toArrow()
+    a, b = (t.column(x).to_numpy() for x in ("a", "b"))
+    node, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    at, top = at.reshape(2, -1), np.arange(len(node))
+    while True:
+        x, y = top[at[0]], top[at[1]]
+        if (x == y).all():
+            break
+        np.minimum.at(top, np.maximum(x, y), np.minimum(x, y))
+        while (top[top] != top).any():
+            top = top[top]
+    return spark.createDataFrame(pa.table({"node": node, "component": node[top]}), "node long, component long")
+
+
+def _sent(pairs: DataFrame) -> DataFrame:
+    """_dealt_pairs() of written pairs by Spark, written."""
+    share = F.ceil(F.col("n") / HUB).cast("int")
+    hubs = pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", share.alias("n"))
+    members = pairs.join(hubs, "a").select(F.col("b").alias("node"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), "n").cast("int").alias("part"), F.lit(1).alias("role"))
+    whole = hubs.select(F.col("a").alias("node"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"), F.lit(0).alias("role"))
+    return written(whole.union(members), "jaccard-sent")
+
+
 def _alike(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Those of the written pairs (a, b) of nodes whose sets have the similarity.
 
     The text of each b goes to the task of its a, HUB at most, that of a once to each of these. Where it goes is broadcast while
     that has at most BROADCAST_BYTES, else joined.
     """
-    share = F.ceil(F.col("n") / HUB).cast("int")
-    hubs = pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", share.alias("n"))
-    members = pairs.join(hubs, "a").select(F.col("b").alias("node"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), "n").cast("int").alias("part"), F.lit(1).alias("role"))
-    whole = hubs.select(F.col("a").alias("node"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"), F.lit(0).alias("role"))
-    sent = written(whole.union(members), "jaccard-sent")
-    few = sent.count() * 24 <= BROADCAST_BYTES
     known = None
+    few = pairs.count() * 48 <= BROADCAST_BYTES
     if few:
-        t = sent.toArrow()
-        order = np.argsort(t.column("node").to_numpy(), kind="stable")
-        known = docs.sparkSession.sparkContext.broadcast([t.column(x).to_numpy()[order] for x in ("node", "hub", "part", "role")])
+        t = pairs.toArrow()
+        known = docs.sparkSession.sparkContext.broadcast(_dealt_pairs(*(t.column(x).to_numpy() for x in ("a", "b"))))
+    else:
+        sent = _sent(pairs)
 
     def texts(batches):
         codec = pa.Codec("zstd", 1)
@@ -402,7 +441,10 @@ def _alike(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -
         kept = docs.mapInArrow(texts, "node long, bytes long, body binary").groupBy("node").agg(F.first("bytes").alias("bytes"), F.first("body").alias("body"))
         dealt = kept.join(sent, "node")
     dealt = dealt.repartition("hub", "part").sortWithinPartitions("hub", "part", "role", "node").select("node", "bytes", "body", "hub", "part", "role")
-    return written(dealt.mapInArrow(decide, "a long, b long"), "jaccard-links")
+    out = written(dealt.mapInArrow(decide, "a long, b long"), "jaccard-links")
+    if few:
+        known.destroy()
+    return out
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, counted: int = COUNTED, large: int = LARGE, leaders: int = LEADERS, block: int = BLOCK, part: int = PART) -> DataFrame:
@@ -443,10 +485,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
 
     met = written(_dealt(docs, shingle, similarity, order, share, bits, part).mapInArrow(_groups(similarity, large, leaders, bits), _FOUND), "jaccard-met")
     again = met.where("kind = 2").select("token", F.col("a").alias("node"), "size", "place").repartition("token").sortWithinPartitions("token", "node")
+    order.destroy()
     pairs = met.where("kind = 0").select("a", "b").union(again.mapInArrow(_again(similarity, large, leaders), "a long, b long")).union(close)
     pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     joined = _alike(docs, written(pairs, "jaccard-pairs"), shingle, similarity)
-    grouped = written(components(joined), "jaccard-groups")
+    grouped = written(_components(joined), "jaccard-groups")
 
     def small(df: DataFrame) -> DataFrame:
         """A written table of two or three numbers a row, to be broadcast if its size allows."""
@@ -480,7 +523,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         none = more.isEmpty()
         if not none:
             joined = joined.union(more)
-            grouped = written(components(joined), "jaccard-groups")
+            grouped = written(_components(joined), "jaccard-groups")
         if final:
             break
         turn += 1

@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
 import pyarrow as pa
 
 from seqloom.storage import folder, written
 
-__all__ = ["BROADCAST_BYTES", "chunks", "folder", "mixed", "packed5", "text_buffer", "unpacked5", "word_hashes", "words", "written"]
+__all__ = ["BROADCAST_BYTES", "chunks", "folder", "mixed", "packed5", "release", "text_buffer", "unpacked5", "word_hashes", "words", "written"]
 
 #: Most bytes that an operator sends to the driver or broadcasts; each operator checks its own against it.
 BROADCAST_BYTES = 64 << 20
 
 
+def release() -> None:
+    """Gives memory that this process has freed back to the system, where the C library can do so; it keeps it else."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column; a null is an empty text.
 

@@ -458,3 +458,25 @@ def test_stages_by_the_contract(spark, sf):
     tokens = lambda pieces: {(r.doc_id, r.doc_tokens) for r in pieces}
     assert {r.doc_id for r in packed} == set(got) and tokens(whole) == tokens(packed)
     assert sum(r.length for r in whole) == sum(r.length for r in packed)
+
+
+def test_few_links_are_joined_without_rounds_of_jobs(spark, monkeypatch):
+    """The jobs of the near-duplicate stage, which take the driver's memory: under 60; by both ways the same groups."""
+    from seqloom.llm import jaccard
+
+    r = np.random.default_rng(8)
+    base = [" ".join(r.choice([f"w{i}" for i in range(900)], 80)) for _ in range(40)]
+    texts = [" ".join(x.split()[:k]) for x in base for k in (80, 77, 74, 71, 68, 65)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+    before = jobs()
+    got = {x.doc_id: x.component_id for x in jaccard.near_duplicates(docs).collect()}
+    took = jobs() - before
+    assert got == jaccard_groups(dict(enumerate(texts)), 0.8) and len(set(got.values())) == 40
+    assert took < 60, took
+
+    ends = r.integers(-400, 400, (2, 700))
+    edges = spark.createDataFrame([(int(a), int(b)) for a, b in ends.T if a != b], "a long, b long")
+    few = sorted(jaccard._components(edges).collect())
+    monkeypatch.setattr(jaccard, "FEW_LINKS", 0)
+    assert few == sorted(jaccard._components(edges).collect())
