@@ -424,13 +424,55 @@ def _preorder(t: Template) -> list[Template]:
     return out
 
 
+def _rest(label: str, tag: str, gone: list[Template]) -> Template:
+    """A node that no page has, with the words of the nodes `gone`: free ones, those of links, those in ZONES, and of links there."""
+    words, todo = defaultdict(int), [(x, False, False) for x in gone]
+    while todo:
+        x, linked, zone = todo.pop()
+        if x.label == "#":
+            words[linked, zone] += x.words
+        todo += [(k, linked or x.tag == "a", zone or x.tag in ZONES) for k in x.kids]
+    out = Template(label, tag, None, 0)
+    for linked, zone in ((False, False), (True, False), (False, True), (True, True)):
+        node = Template("#", "#", None, 0, words[linked, zone], 0, {})
+        for name, on in (("a", linked), ("nav", zone)):
+            if on:
+                inner, node = node, Template(f"*{name}{linked:d}", name, None, 0)
+                node.kids = [inner]
+        out.kids.append(node)
+    return out
+
+
+def _frequent(nodes: list[Template], least: float) -> None:
+    """Replaces nodes that at most `least` pages have by _rest(), but for containers with a quarter of their parent's words."""
+    words: dict[int, int] = {}
+    for x in reversed(nodes):
+        words[id(x)] = x.words * (x.label == "#") + sum(words[id(k)] for k in x.kids)
+    todo = nodes[:1]
+    while todo:
+        x = todo.pop()
+        keep = [k for k in x.kids if k.pages > least or (k.pages and k.tag in CONTAINERS and 4 * words[id(k)] >= words[id(x)])]
+        kept = set(map(id, keep))
+        gone = [k for k in x.kids if id(k) not in kept]
+        todo += keep
+        x.kids = keep
+        for label, tag, own in (("*p", "p", [k for k in gone if k.tag in BESIDE]), ("*", "", [k for k in gone if k.tag not in BESIDE])):
+            if own:
+                x.kids = [*x.kids, _rest(label, tag, own)]
+
+
 def packed(t: Template, most: int = MOST_NODES, rare: float = math.inf) -> bytes:
-    """A template as bytes. Of one with over `most` nodes those go that the fewest pages have, but none that more than `rare` have."""
+    """A template as bytes. Of one with over `most` nodes those go that the fewest pages have. With `rare`, none that more pages
+    have, and the words of the others stay, summed (_frequent()): these nodes can't be template, but they decide on the main part.
+    """
     nodes = _preorder(t)
     if len(nodes) > most:
         least = min(rare, sorted((x.pages for x in nodes), reverse=True)[most])
-        for x in nodes:
-            x.kids = [k for k in x.kids if k.pages > least]
+        if rare < math.inf:
+            _frequent(nodes, least)
+        else:
+            for x in nodes:
+                x.kids = [k for k in x.kids if k.pages > least]
         nodes = _preorder(t)
     return pickle.dumps([(x.label, x.tag, len(x.kids), x.text, x.pages, x.words, x.zone, x.often, x.run) for x in nodes])
 
@@ -604,7 +646,7 @@ def host_templates(pages: DataFrame, least_pages: int = 5) -> DataFrame:
 
     A partial template counts every text. Before they are merged, the counts are summed by host and text, dealt by both; only
     texts that half of the host's pages and least_pages have are kept, with all their counts: at most twice as many as a page has.
-    Of a template of over MOST_NODES nodes those go that no quarter of its pages has.
+    Of a template of over MOST_NODES nodes those go that no quarter of its pages has; their words stay, summed in their parents.
     """
 
     def once(batches):

@@ -166,6 +166,27 @@ def test_template_bytes():
     assert len(html_extract._preorder(html_extract.unpacked(html_extract.packed(t, 3)))) <= 3
 
 
+def test_rare_nodes_leave_their_words_in_a_large_template():
+    """Each page's article has a class of its own: what holds them all is the main part, also if the template is large."""
+    pages = [html_extract.parse(f"<div class=a><div class=u{k}><p>{f'w{k} ' * 40}</p><a>{f'l{k} ' * 5}</a></div></div><div class=b>{f'x{k} ' * 9}</div>") for k in range(20)]
+    parts = []
+    for i in (0, 10):
+        t = html_extract.template_of(pages[i])
+        for x in pages[i + 1 : i + 10]:
+            t = html_extract.merge(t, html_extract.template_of(x))
+        parts.append(t)
+    for rare in (0, 2):  # none goes, all that are in two pages or fewer go
+        one, two = (html_extract.unpacked(html_extract.packed(x, 10 if rare else 10**6, rare)) for x in parts)
+        whole = html_extract.unpacked(html_extract.packed(html_extract.merge(one, two), 10 if rare else 10**6, rare))
+        parts = [html_extract.unpacked(html_extract.packed(x)) for x in parts]
+        host = html_extract.Wrapper(whole, 20, 5)
+        assert host.main.label == "div.a" and sum(x.words for x in html_extract._preorder(whole) if x.label == "#") == 20 * 54
+        assert any("u3" in x.label for x in html_extract._preorder(whole)) == (not rare)
+        page = pages[3]
+        roots, constant, gone = host.applied(page)
+        assert html_extract.article(page, constant, roots, gone).startswith("w3 w3") and "x3" not in html_extract.article(page, constant, roots, gone)
+
+
 # ---- SimHash and near duplicates
 
 
